@@ -21,8 +21,9 @@ from citespark.llm.common import batch, distinct_by_text, materialize, mix, runs
 from citespark.llm.components import components
 
 BANDS, ROWS = 32, 4
-#: A bucket of up to so many sets is compared pair by pair; a larger one in blocks of about so many against each other.
-SMALL, BLOCK = 24, 96
+#: A bucket of up to so many sets is compared pair by pair. The sets of larger ones are dealt into blocks of about so many
+#: sets and shingles, and the blocks that meet in a bucket are compared with each other.
+SMALL, BLOCK, BLOCK_SHINGLES = 24, 96, 400_000
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SKETCH_T = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
@@ -162,9 +163,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, b
     component_id and is kept. An empty table gives an empty result.
 
     Equal sets are one class from the start. Classes that share a band are candidates. In buckets of up to SMALL
-    classes the candidate pairs are joined with both full sets; larger buckets are cut into hashed blocks, and each pair
-    of blocks is verified by one matrix product that emits no more links than hold its classes together. So no link is
-    lost, and no bucket emits all its pairs. Nothing is broadcast or collected."""
+    classes the candidate pairs are joined with both full sets. The classes of larger buckets are dealt into hashed blocks
+    by the largest bucket of each; every two blocks that meet in a bucket are verified once, by one matrix product that
+    emits no more links than hold its classes together. So no link is lost, and no bucket emits all its pairs. Nothing is
+    broadcast or collected."""
     percent = round(threshold * 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = materialize(docs.mapInArrow(_sketches(shingle, bands, rows), _SKETCH_T), "sketches")
@@ -199,15 +201,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, b
         .select("a", "b")
     )
     if not large.isEmpty():
-        blocks = (
-            large.select("band", "h", "rep", (F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).alias("block"))
-            .join(sets, "rep")
-            .groupBy("band", "h", "block")
-            .agg(F.collect_list(F.struct("rep", "shingles")).alias("m"))
-            .select("band", "h", "block", F.col("m.rep").alias("r"), F.col("m.shingles").alias("s"))
-        )
-        other = blocks.select("band", "h", F.col("block").alias("block2"), F.col("r").alias("r2"), F.col("s").alias("s2"))
-        two = blocks.join(other, ["band", "h"]).where("block < block2").select("r", "r2", "s", "s2")
+        home = large.groupBy("rep").agg(F.max(F.struct("size", "band", "h")).alias("at"), F.max("n").alias("n"))
+        home = home.select("rep", "n", F.col("at.band").alias("band"), F.col("at.h").alias("h"))
+        parts = home.groupBy("band", "h").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+        block = F.xxhash64("band", "h", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")
+        placed = materialize(home.join(parts, ["band", "h"]).select("rep", block), "placed")
+        blocks = placed.join(sets, "rep").groupBy("block").agg(F.collect_list("rep").alias("r"), F.collect_list("shingles").alias("s"))
+        blocks = materialize(blocks, "blocks")
+        met = large.select("band", "h", "rep").join(placed, "rep").select("band", "h", "block").distinct()
+        met = met.join(met.withColumnRenamed("block", "block2"), ["band", "h"]).where("block < block2").select("block", "block2").distinct()
+        two = met.join(blocks, "block").join(blocks.select(F.col("block").alias("block2"), F.col("r").alias("r2"), F.col("s").alias("s2")), "block2").select("r", "r2", "s", "s2")
         one = blocks.select("r", F.lit(None).cast("array<long>").alias("r2"), "s", F.lit(None).cast("array<array<long>>").alias("s2"))
         links = links.unionByName(one.unionByName(two).mapInArrow(_blocks(percent), "a long, b long"))
 
