@@ -49,6 +49,14 @@ def _short(length: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("_w", i, F.lit(length))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _is(length: Column):
+    return lambda s: s["k"] == length
+
+
+def _place(wanted: str, length: Column):
+    return lambda h, i: F.when(F.array_contains(wanted, h), F.struct(i.alias("at"), length.alias("k"), h.alias("g")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) -> DataFrame:
     """Per row of docs (doc_id, text; other columns are ignored): doc_id, n_words, n_hit, items (the item_ids found, as
     sorted distinct strings), contaminated.
@@ -93,9 +101,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) ->
     lists = [(WINDOW, F.col("_g"))] + [(k, _short(k)) for k in lengths]
     hits = []
     for k, grams in lists:
-        out = out.withColumn(f"_wanted{k}", F.transform(F.filter("_own", lambda s, k=k: s["k"] == k), lambda s: s["g"]))
-        at = F.transform(grams, lambda h, i, k=k: F.when(F.array_contains(f"_wanted{k}", h), F.struct(i.alias("at"), F.lit(k).alias("k"), h.alias("g"))))
-        hits.append(F.filter(at, lambda s: s.isNotNull()))
+        wanted, length = f"_wanted{k}", F.lit(k)
+        out = out.withColumn(wanted, F.transform(F.filter("_own", _is(length)), lambda s: s["g"]))
+        hits.append(F.filter(F.transform(grams, _place(wanted, length)), lambda s: s.isNotNull()))
     out = out.withColumn("_hits", F.when(F.col("_items").isNotNull(), F.array_sort(F.concat(*hits))))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
