@@ -69,6 +69,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_read(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citespark.llm.pii import personal_data
+
+    found = personal_data(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citespark.llm.urlfilter import judged_urls
 
@@ -109,6 +116,7 @@ QUERIES = {
         op4_line_dedup,
         op5_packing,
         op6_quality_rules,
+        op7_personal_data,
         op8_url_filter,
         op9_substring_dedup,
         op10_chat_formatting,

@@ -1,15 +1,60 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: each stage reads what the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from citespark.llm.common import materialize
+from citespark.llm.decontam import without_contaminated
+from citespark.llm.linededup import clean_lines
+from citespark.llm.minhash import one_of_each
+from citespark.llm.packing import pack_documents
+from citespark.llm.quality import good_documents
+from citespark.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the perplexity bands reject go."""
+    return good_documents(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many sources share stay in one document only."""
+    return clean_lines(docs).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share ten words in a row with a benchmark item go."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all packed sequences, with their ids."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("minhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: The language model, the sketches and the packing aren't expressible in SQL; the tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; each stage's documents are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{i}")
     return docs
