@@ -1,7 +1,467 @@
-"""Registered queries of the citation operators."""
+"""Registered queries of the citation operators, with DuckDB SQL for each that SQL can express."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from citespark.operators import cache, cascade, export, graph, match, paging
+from citespark.plans import text_queries
+from citespark.plans.tables import PART_REFS, TITLES, WORK_REFS, norm_sql, part_refs, read, titles, work_refs
+
 FLAGSHIP = "coupling_top200"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- coupling and counts
+
+_COUPLING = f"""WITH {WORK_REFS}, c AS (
+SELECT a.work_id AS source, b.work_id AS target, count(*) AS weight FROM wr a JOIN wr b ON a.ref_id = b.ref_id AND a.work_id < b.work_id
+GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+@query(f"{_COUPLING} SELECT source, target, weight FROM c")
+def coupling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.coupling_edges(work_refs(spark, sf_dir))
+
+
+@query(f"{_COUPLING} SELECT source, target, weight FROM c ORDER BY weight DESC, source, target LIMIT 200")
+def coupling_top200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top_edges(graph.coupling_edges(work_refs(spark, sf_dir)))
+
+
+@query(f"""WITH {WORK_REFS}, s AS (SELECT work_id, list(ref_id) AS l FROM wr GROUP BY work_id)
+SELECT a.work_id AS source, b.work_id AS target, CAST(len(list_intersect(a.l, b.l)) AS BIGINT) AS weight
+FROM s a JOIN s b ON b.work_id = a.work_id + 1""")
+def coupling_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = work_refs(spark, sf_dir)
+    works = refs.select(F.col("work_id").alias("source")).distinct()
+    return graph.coupling_by_sets(refs, works.withColumn("target", F.col("source") + 1))
+
+
+@query(f"WITH {WORK_REFS} SELECT work_id, ref_id FROM wr")
+def work_refs_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.distinct_references(work_refs(spark, sf_dir))
+
+
+@query(f"WITH {WORK_REFS} SELECT ref_id, count(*) AS citation_count FROM wr GROUP BY ref_id")
+def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.citation_counts(work_refs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- neighbourhoods
+
+
+def _neighbourhood(spark: SparkSession, sf_dir: str, last: int, max_nodes: int = 50):
+    """Origins are the parts up to a number; references are the suppliers' other parts with the next numbers, citing works
+    those of earlier ones, related works those of the same brand."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("work_id"), "p_brand", "p_size")
+    counts = graph.citation_counts(work_refs(spark, sf_dir)).select(F.col("ref_id").alias("work_id"), "citation_count")
+    o = p.where(F.col("work_id") <= last).select(F.col("work_id").alias("origin_id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    pairs = o.join(p, F.col("size") == F.col("p_size")).where("origin_id <> work_id")
+    refs = pairs.where("work_id > origin_id").select("origin_id", "work_id", F.col("work_id").alias("ord"))
+    cites = pairs.where("work_id < origin_id").select("origin_id", "work_id", (-F.col("work_id")).alias("ord"))
+    related = o.join(p, F.col("brand") == F.col("p_brand")).where("origin_id <> work_id").select("origin_id", "work_id", F.col("work_id").alias("ord"))
+    return graph.nodes(o.select("origin_id"), refs, cites, related, counts, max_nodes)
+
+
+def _nodes_sql(last: int, max_nodes: int = 50) -> str:
+    return f"""{WORK_REFS}, cc AS (SELECT ref_id AS work_id, count(*) AS citation_count FROM wr GROUP BY ref_id),
+o AS (SELECT p_partkey AS origin_id, p_brand, p_size FROM part WHERE p_partkey <= {last}),
+pairs AS (SELECT origin_id, p_partkey AS work_id FROM o JOIN part p ON o.p_size = p.p_size AND p.p_partkey <> origin_id),
+ci AS (SELECT origin_id, work_id, -work_id AS ord, row_number() OVER (PARTITION BY origin_id ORDER BY -work_id) AS i FROM pairs WHERE work_id < origin_id),
+re AS (SELECT origin_id, p_partkey AS work_id, p_partkey AS ord, row_number() OVER (PARTITION BY origin_id ORDER BY p_partkey) AS i
+       FROM o JOIN part p ON o.p_brand = p.p_brand AND p.p_partkey <> origin_id),
+u AS (SELECT origin_id, origin_id AS work_id, 0 AS ord, 0 AS prio FROM o UNION ALL SELECT origin_id, work_id, work_id, 1 FROM pairs WHERE work_id > origin_id
+      UNION ALL SELECT origin_id, work_id, ord, 2 FROM ci WHERE i <= 15 UNION ALL SELECT origin_id, work_id, ord, 3 FROM re WHERE i <= 10),
+d AS (SELECT *, row_number() OVER (PARTITION BY origin_id, work_id ORDER BY prio, ord) AS i FROM u),
+r AS (SELECT origin_id, d.work_id, prio, ord, citation_count,
+      row_number() OVER (PARTITION BY origin_id ORDER BY CAST(prio > 0 AS INT), coalesce(citation_count, 0) DESC, prio, ord, d.work_id) AS rank
+      FROM d LEFT JOIN cc ON d.work_id = cc.work_id WHERE i = 1),
+n AS (SELECT origin_id, work_id, ['origin', 'reference', 'citation', 'related'][prio + 1] AS kind, citation_count, CAST(rank AS INT) AS rank FROM r WHERE rank <= {max_nodes})"""
+
+
+@query(f"WITH {_nodes_sql(1)} SELECT * FROM n")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbourhood(spark, sf_dir, 1)
+
+
+@query(f"WITH {_nodes_sql(40)} SELECT * FROM n")
+def graph_nodes_multi_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbourhood(spark, sf_dir, 40)
+
+
+_EDGES = f"""{_nodes_sql(40)}, {PART_REFS}, l AS (SELECT DISTINCT origin_id, n.work_id, ref_id FROM n JOIN pr ON n.work_id = pr.work_id WHERE kind = 'reference'),
+c AS (SELECT a.origin_id, a.work_id AS source, b.work_id AS target, count(*) AS weight FROM l a JOIN l b
+      ON a.origin_id = b.origin_id AND a.ref_id = b.ref_id AND a.work_id < b.work_id GROUP BY ALL HAVING count(*) >= 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY origin_id ORDER BY weight DESC, source, target) AS i FROM c),
+e AS (SELECT origin_id, origin_id AS source, work_id AS target, 1 AS weight, 'direct' AS kind FROM n WHERE kind <> 'origin'
+      UNION ALL SELECT origin_id, source, target, weight, 'cocite' FROM t WHERE i <= 200)"""
+
+
+@query(f"WITH {_EDGES} SELECT origin_id, source, target, CAST(weight AS BIGINT) AS weight, kind FROM e")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts share suppliers rarely in these tables, so two shared ones make an edge here."""
+    return graph.edges(_neighbourhood(spark, sf_dir, 40), part_refs(spark, sf_dir), min_shared=2)
+
+
+@query(f"WITH {_nodes_sql(40)} SELECT n.*, s_suppkey IS NOT NULL AS in_library FROM n LEFT JOIN supplier ON work_id = s_suppkey")
+def graph_in_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    library = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("work_id"))
+    return graph.in_library(_neighbourhood(spark, sf_dir, 40), library)
+
+
+@query(f"""WITH {_nodes_sql(40)} SELECT origin_id, work_id,
+round(least(4.5 + 2.2 * log10(1 + coalesce(citation_count, 0)), 13.0) + CASE WHEN kind = 'origin' THEN 4.0 ELSE 0.0 END, 6) AS radius FROM n""")
+def node_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _neighbourhood(spark, sf_dir, 40)
+    return n.select("origin_id", "work_id", F.round(graph.node_radius(F.col("citation_count"), F.col("kind") == "origin"), 6).alias("radius"))
+
+
+@query(f"""WITH {_EDGES} SELECT origin_id, source, target, kind, CASE kind WHEN 'direct' THEN 70.0 ELSE 46.0 END AS distance,
+round(CASE kind WHEN 'direct' THEN 0.3 ELSE least(1.0, weight / 6.0) END, 6) AS strength FROM e""")
+def edge_force_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graph_edges(spark, sf_dir).withColumn("f", graph.force_parameters(F.col("kind"), F.col("weight")))
+    return e.select("origin_id", "source", "target", "kind", "f.distance", F.round("f.strength", 6).alias("strength"))
+
+
+@query(f"""WITH {_nodes_sql(40)}, s AS (SELECT origin_id, work_id,
+round(least(4.5 + 2.2 * log10(1 + coalesce(citation_count, 0)), 13.0) + CASE WHEN kind = 'origin' THEN 4.0 ELSE 0.0 END, 6) AS radius FROM n)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY origin_id ORDER BY radius DESC, work_id) AS INT) AS label_rank FROM s) WHERE label_rank <= 8""")
+def label_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.labelled(node_radius(spark, sf_dir), 360)
+
+
+@query(f"WITH {_nodes_sql(40)} SELECT DISTINCT work_id AS origin_id FROM n WHERE rank = 2")
+def graph_recentre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _neighbourhood(spark, sf_dir, 40)
+    return graph.recentred(n.select("origin_id").distinct(), n.where("rank = 2").select("origin_id", "work_id"))
+
+
+# ---------------------------------------------------------------- hydration
+
+
+@query(f"""WITH {WORK_REFS}, n AS (SELECT work_id, ref_id, row_number() OVER (PARTITION BY work_id ORDER BY ref_id) AS number FROM wr)
+SELECT work_id, number, ref_id, coalesce(p_name, 'n.d.') AS title, p_partkey IS NULL AS stub FROM n LEFT JOIN (SELECT * FROM part WHERE p_size > 10) p ON ref_id = p_partkey""")
+def refs_left_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citespark.sources.works import hydrate_references
+
+    works = read(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("title"))
+    refs = work_refs(spark, sf_dir).withColumn("ord", F.col("ref_id"))
+    out = hydrate_references(refs, works)
+    return out.select("work_id", "number", "ref_id", F.coalesce("title", F.lit("n.d.")).alias("title"), "stub")
+
+
+@query(f"""WITH {WORK_REFS}, n AS (SELECT work_id, ref_id, row_number() OVER (PARTITION BY work_id ORDER BY ref_id) AS i FROM wr)
+SELECT work_id, ref_id, i - 1 AS pos, p_name AS title FROM n JOIN part ON ref_id = p_partkey AND p_size > 10 WHERE i <= 10""")
+def related_inner_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citespark.sources.works import hydrate_related
+
+    works = read(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("title"))
+    return hydrate_related(work_refs(spark, sf_dir).withColumn("ord", F.col("ref_id")), works, 10).select("work_id", "ref_id", "pos", "title")
+
+
+# ---------------------------------------------------------------- matching
+
+
+def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = titles(spark, sf_dir)
+    return t.select(
+        (F.col("page_id") % 2).alias("library_id"), F.col("page_id").alias("item_id"),
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("10.1000/P"), F.col("page_id").cast("string"))).alias("doi"),
+        F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("https://arxiv.org/abs/2101."), F.lpad(F.col("page_id").cast("string"), 5, "0"))).otherwise(F.col("url")).alias("url"),
+        F.when(F.col("page_id") % 7 == 2, F.concat(F.lit("note\nPMID: "), (F.col("page_id") + 1000000).cast("string"))).alias("extra"),
+        "title", F.concat((2000 + F.col("page_id") % 20).cast("string"), F.lit("-01-02")).alias("date"), F.col("page_id").alias("ord"),
+    )
+
+
+_LIBRARY = f"""{TITLES}, lib AS (SELECT page_id % 2 AS library_id, page_id AS item_id,
+CASE WHEN page_id % 3 = 0 THEN '10.1000/p' || page_id END AS doi,
+CASE WHEN page_id % 5 = 1 THEN '2101.' || lpad(CAST(page_id AS VARCHAR), 5, '0') END AS arxiv,
+CASE WHEN page_id % 7 = 2 THEN CAST(page_id + 1000000 AS VARCHAR) END AS pmid,
+{norm_sql("title")} AS t, CAST(2000 + page_id % 20 AS INT) AS year FROM ti),
+lk AS (SELECT library_id, 'doi' AS key_type, doi AS key, item_id, year FROM lib UNION ALL SELECT library_id, 'arxiv', arxiv, item_id, year FROM lib
+       UNION ALL SELECT library_id, 'pmid', pmid, item_id, year FROM lib UNION ALL SELECT library_id, 'title', CASE WHEN length(t) >= 6 THEN t END, item_id, year FROM lib),
+keys AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY library_id, key_type, key ORDER BY item_id DESC) AS i FROM lk WHERE key IS NOT NULL) WHERE i = 1)"""
+
+
+@query(f"WITH {_LIBRARY} SELECT library_id, key_type, key, item_id, year, item_id AS ord FROM keys")
+def lib_keys_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.library_keys(_library(spark, sf_dir))
+
+
+def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References made of the pages: some have an identifier of this or of another page, most the title."""
+    t, p = titles(spark, sf_dir), F.col("page_id")
+    return t.select(
+        p.alias("ref_id"), (p % 2).alias("library_id"),
+        F.when(p % 4 == 0, F.concat(F.lit("10.1000/p"), (p - p % 3).cast("string"))).alias("doi"),
+        F.when(p % 4 == 1, F.concat(F.lit("2101."), F.lpad(p.cast("string"), 5, "0"))).alias("arxiv"),
+        F.when(p % 4 == 2, (p + 1000000).cast("string")).alias("pmid"),
+        F.when(p % 6 > 0, F.col("title")).alias("title"), F.concat(F.col("title"), F.lit(".")).alias("text"), F.lit("2010").alias("year"),
+    )
+
+
+_EXACT = f"""{_LIBRARY}, rf AS (SELECT page_id AS ref_id, page_id % 2 AS library_id, CASE WHEN page_id % 4 = 0 THEN '10.1000/p' || (page_id - page_id % 3) END AS doi,
+CASE WHEN page_id % 4 = 1 THEN '2101.' || lpad(CAST(page_id AS VARCHAR), 5, '0') END AS arxiv, CASE WHEN page_id % 4 = 2 THEN CAST(page_id + 1000000 AS VARCHAR) END AS pmid,
+{norm_sql("CASE WHEN page_id % 6 > 0 THEN title ELSE title || '.' END")} AS t FROM ti),
+pb AS (SELECT ref_id, library_id, 0 AS prio, 'doi' AS key_type, doi AS key FROM rf UNION ALL SELECT ref_id, library_id, 1, 'arxiv', arxiv FROM rf
+       UNION ALL SELECT ref_id, library_id, 2, 'pmid', pmid FROM rf UNION ALL SELECT ref_id, library_id, 3, 'title', CASE WHEN length(t) >= 6 THEN t END FROM rf),
+ex AS (SELECT ref_id, item_id, key_type FROM (SELECT pb.*, item_id, row_number() OVER (PARTITION BY ref_id ORDER BY prio, item_id) AS i
+       FROM pb JOIN keys USING (library_id, key_type, key)) WHERE i = 1)"""
+
+
+@query(f"WITH {_EXACT} SELECT ref_id, item_id, key_type FROM ex")
+def lib_match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match_exact(_refs(spark, sf_dir), match.library_keys(_library(spark, sf_dir)))
+
+
+_DOCS = f"dk AS (SELECT doc_id, {norm_sql('text')} AS t, CASE WHEN doc_id % 4 > 0 THEN CAST(2000 + doc_id % 7 AS INT) END AS year FROM documents)"
+
+
+def _doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citespark.functions.text import normalize_title
+
+    return read(spark, sf_dir, "documents").select("doc_id", normalize_title("text").alias("t"), F.when(F.col("doc_id") % 4 > 0, (2000 + F.col("doc_id") % 7).cast("int")).alias("year"))
+
+
+@query(f"""WITH {_DOCS}, a AS (SELECT doc_id AS ref_id, left(t, 40) AS t, year FROM dk WHERE length(t) >= 25),
+h AS (SELECT ref_id, doc_id AS item_id, row_number() OVER (PARTITION BY ref_id ORDER BY doc_id) AS i FROM a JOIN dk b ON left(a.t, 25) = left(b.t, 25)
+      AND length(b.t) >= 25 AND a.t <> b.t AND (starts_with(a.t, b.t) OR starts_with(b.t, a.t)) AND (a.year IS NULL OR b.year IS NULL OR abs(a.year - b.year) <= 1))
+SELECT ref_id, item_id FROM h WHERE i = 1""")
+def lib_match_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References are the first 40 characters of the documents' normalised texts."""
+    d = _doc_keys(spark, sf_dir)
+    refs = d.select(F.col("doc_id").alias("ref_id"), F.substring("t", 1, 40).alias("title_key"), "year")
+    return match.match_prefix(refs, d.select(F.col("doc_id").alias("item_id"), F.col("t").alias("title_key"), "year", F.col("doc_id").alias("ord")))
+
+
+@query(f"""WITH {_EXACT}, l AS (SELECT rf.*, 2010 AS year FROM rf WHERE ref_id NOT IN (SELECT ref_id FROM ex)),
+h AS (SELECT ref_id, item_id, row_number() OVER (PARTITION BY ref_id ORDER BY item_id) AS i FROM l JOIN lib b ON left(l.t, 25) = left(b.t, 25) AND length(l.t) >= 25 AND length(b.t) >= 25
+      AND l.t <> b.t AND (starts_with(l.t, b.t) OR starts_with(b.t, l.t)) AND (b.year IS NULL OR abs(l.year - b.year) <= 1))
+SELECT * FROM ex UNION ALL SELECT ref_id, item_id, 'prefix' FROM h WHERE i = 1""")
+def lib_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match_refs(_refs(spark, sf_dir), _library(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS ref_id, p_name AS title FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)")
+def in_library_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ref_id"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("title")).join(s, "ref_id", "left_semi")
+
+
+@query("SELECT p_partkey AS ref_id, p_name AS title FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
+def not_in_library_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ref_id"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("title")).join(s, "ref_id", "left_anti")
+
+
+@query(f"""WITH {TITLES}, q AS (SELECT page_id AS query_id, {norm_sql("title")} AS k FROM ti),
+w AS (SELECT page_id AS work_id, '10.1000/p' || page_id AS doi, {norm_sql("title")} AS k FROM ti WHERE page_id % 3 = 0)
+SELECT query_id, work_id, doi FROM q JOIN w USING (k) WHERE length(k) >= 8""")
+def resolve_by_title_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = titles(spark, sf_dir)
+    works = t.select(F.col("page_id").alias("work_id"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("10.1000/p"), F.col("page_id").cast("string"))).alias("doi"), "title")
+    return match.strictly_same_title(t.select(F.col("page_id").alias("query_id"), "title"), works)
+
+
+# ---------------------------------------------------------------- duplicates, pages, cascades
+
+
+@query(f"""WITH {TITLES}, k AS (SELECT page_id, title, CASE WHEN page_id % 10 = 0 THEN '10.1000/p' || page_id % 50 ELSE nullif({norm_sql("title")}, '') END AS key FROM ti)
+SELECT page_id, title, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS i FROM k WHERE key IS NOT NULL) WHERE i = 1""")
+def dedupe_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, none = F.col("page_id"), F.lit(None).cast("string")
+    doi = F.when(p % 10 == 0, F.concat(F.lit("10.1000/P"), (p % 50).cast("string")))
+    rows = titles(spark, sf_dir).select("page_id", "title", paging.identity_key(doi, none, none, F.col("title")).alias("key"))
+    return paging.dedupe_by_identity(rows, [], "key", ["page_id"])
+
+
+@query(f"""WITH {TITLES}, k AS (SELECT page_id, title, regexp_replace('[' || page_id % 2 || '] ' || title, '[^0-9A-Za-z一-龥]', '', 'g') AS key FROM ti)
+SELECT page_id, title, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS i FROM k) WHERE i = 1 OR coalesce(key, '') = ''""")
+def dedupe_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = titles(spark, sf_dir).select("page_id", "title", paging.display_key(F.col("title"), F.col("page_id") % 2, True).alias("key"))
+    return paging.dedupe_by_display(rows, [], "key", ["page_id"])
+
+
+@query("""SELECT p_partkey AS id, p_name AS title FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 50 = 0)
+UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 50 = 0""")
+def related_minus_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("up"), F.col("p_name").alias("title"))
+    own = p.where("id % 50 = 0").select("id", "title")
+    return own.unionByName(paging.without_titles_of(p.select("id", "title"), p.where("id % 50 = 0").select(F.col("up").alias("title"))))
+
+
+@query(f"""WITH {WORK_REFS}, c AS (SELECT ref_id, count(*) AS n FROM wr GROUP BY ref_id)
+SELECT ref_id, n AS citation_count FROM c ORDER BY n DESC, ref_id LIMIT 15 OFFSET 30""")
+def cited_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.page(citation_counts(spark, sf_dir), 30, 15, [F.col("citation_count").desc(), "ref_id"])
+
+
+@query("""WITH e AS (SELECT user_id AS list_id, CAST(hour(ts) // 6 AS INT) AS page, event_id, event_type AS key FROM events),
+t AS (SELECT list_id, page, count(*) AS n FROM e GROUP BY ALL),
+f AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY list_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM t),
+o AS (SELECT e.* FROM e JOIN f USING (list_id, page) WHERE seen < 30)
+SELECT list_id, page, event_id, key FROM (SELECT *, row_number() OVER (PARTITION BY list_id, key ORDER BY page, event_id) AS i FROM o) WHERE i = 1""")
+def cited_by_pages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as lists, quarters of the day as pages, event types as the works' keys; the total is given as 30."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("list_id"), F.floor(F.hour("ts") / 6).cast("int").alias("page"), "event_id", F.col("event_type").alias("key"))
+    pages = e.groupBy("list_id", "page").agg(F.sort_array(F.collect_list(F.struct("event_id", "key"))).alias("items"))
+    return paging.shown_pages(pages.withColumn("source", F.lit("s2")).withColumn("total", F.lit(30))).select("list_id", "page", "event_id", "key")
+
+
+@query("""WITH a AS (SELECT o_custkey AS item_id, ['semanticscholar', 'openalex', 'crossref', 'other', 'crossref'][o_orderkey % 5 + 1] AS source, o_orderkey AS ref FROM orders WHERE o_orderkey % 3 > 0),
+p AS (SELECT *, CASE source WHEN 'crossref' THEN 0 WHEN 'semanticscholar' THEN 1 WHEN 'openalex' THEN 2 END AS p FROM a)
+SELECT item_id, source, ref FROM p WHERE p = (SELECT min(q.p) FROM p q WHERE q.item_id = p.item_id)""")
+def cascade_first_answering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("semanticscholar", "openalex", "crossref", "other", "crossref")))
+    a = read(spark, sf_dir, "orders").where("o_orderkey % 3 > 0").select(F.col("o_custkey").alias("item_id"), F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("source"), F.col("o_orderkey").alias("ref"))
+    return cascade.first_answering(a, cascade.REFERENCES).select("item_id", "source", "ref")
+
+
+@query("""WITH s AS (SELECT c_custkey AS item_id, unnest(['semanticscholar', 'openalex']) AS source, unnest([0, 1]) AS p FROM customer),
+q AS (SELECT *, (item_id + p) % 3 > 0 AS answered, CASE WHEN (item_id + p) % 3 > 0 THEN (item_id * (p + 1)) % 4 ELSE 0 END AS n FROM s),
+g AS (SELECT item_id, min(p) FILTER (WHERE answered AND n > 0) AS g, max(p) FILTER (WHERE answered AND n = 0) AS e FROM q GROUP BY item_id)
+SELECT g.item_id, ['semanticscholar', 'openalex'][coalesce(g, e) + 1] AS source, CAST(coalesce(q.n, 0) AS BIGINT) AS n_items,
+CASE WHEN g IS NOT NULL THEN 'rows' WHEN e IS NOT NULL THEN 'empty' ELSE 'failed' END AS outcome
+FROM g LEFT JOIN q ON q.item_id = g.item_id AND q.p = coalesce(g, e)""")
+def cascade_empty_vs_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.posexplode(F.array(F.lit("semanticscholar"), F.lit("openalex"))).alias("p", "source"))
+    answered = (F.col("item_id") + F.col("p")) % 3 > 0
+    status = c.select("item_id", "source", answered.alias("answered"), F.when(answered, (F.col("item_id") * (F.col("p") + 1)) % 4).otherwise(0).cast("long").alias("n_items"))
+    return cascade.empty_or_missing(status)
+
+
+_RULES = ", ".join(f"('{a}', '{s}', {o})" for a, s, o in cascade.CANDIDATES)
+
+
+@query(f"""WITH r(according, source, ord) AS (VALUES {_RULES}),
+c AS (SELECT c_custkey AS ref_id, CASE WHEN c_custkey % 5 = 0 THEN 'arxiv' WHEN c_custkey % 3 = 0 THEN 'doi' WHEN c_custkey % 7 = 0 THEN 'pmid' WHEN c_custkey % 11 = 0 THEN 'title_zh' ELSE 'title' END AS according FROM customer)
+SELECT ref_id, according, source, ord FROM c JOIN r USING (according)""")
+def candidate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    key = cascade.best_key(F.when(k % 5 == 0, k), F.when(k % 3 == 0, k), F.when(k % 7 == 0, k), F.col("c_name"), k % 11 == 0)
+    return cascade.candidates(read(spark, sf_dir, "customer").select(k.alias("ref_id"), key.alias("according"))).select("ref_id", "according", "source", "ord")
+
+
+@query("""WITH c AS (SELECT o_custkey AS ref_id, o_orderkey % 7 AS ord, max(o_totalprice) AS price FROM orders GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY CASE WHEN ord = ref_id % 7 THEN 0 ELSE 1 END, ord) AS i FROM c)
+SELECT ref_id, ord, price FROM b WHERE i = 1""")
+def card_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ref_id"), (F.col("o_orderkey") % 7).alias("ord")).agg(F.max("o_totalprice").alias("price"))
+    remembered = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref_id"), (F.col("c_custkey") % 7).alias("ord"))
+    return cascade.preferred(c, remembered)
+
+
+@query("""SELECT c_custkey AS ref_id, CASE WHEN c_custkey % 13 = 0 THEN 'link' WHEN c_custkey % 11 = 0 THEN 'cnki' WHEN c_custkey % 2 = 0 THEN 'doi' WHEN c_custkey % 3 = 0 THEN 'arxiv'
+WHEN c_custkey % 5 = 0 THEN 'pmid' WHEN c_custkey % 7 = 0 THEN 'doi_by_title' WHEN c_acctbal > 0 THEN 'direct' ELSE 'fail' END AS action FROM customer""")
+def import_action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    some = lambda n: F.when(k % n == 0, k)
+    action = cascade.import_action(k % 13 == 0, k % 11 == 0, some(2), some(3), some(5), some(7), F.col("c_name"), F.col("c_acctbal") > 0, F.lit(None))
+    return read(spark, sf_dir, "customer").select(k.alias("ref_id"), action.alias("action"))
+
+
+@query("""SELECT o_custkey AS batch, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok, count(*) FILTER (WHERE o_orderstatus = 'O') AS fail,
+count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS stopped FROM orders GROUP BY o_custkey""")
+def batch_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch"), F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "fail").otherwise("stopped").alias("outcome"))
+    return cascade.tally(o, ["batch"])
+
+
+# ---------------------------------------------------------------- cache
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.select(
+        i.alias("ref_id"), F.create_map(F.lit("DOI"), F.concat(F.lit("10.1000/"), F.repeat(F.lit("x"), (i % 400).cast("int")))).alias("identifiers"),
+        F.slice(F.split("text", " "), 1, 60).alias("authors"), F.when(i % 3 == 0, "file:///etc/x").otherwise(F.concat(F.lit("https://example.org/"), i.cast("string"))).alias("url"),
+        F.lit(None).cast("string").alias("oa_url"), F.when(i % 2 == 0, "book").otherwise("").alias("type"), F.when(i % 4 > 0, F.col("lang")).alias("title"), F.when(i % 5 > 0, F.col("source")).alias("text"), F.col("n_chars").alias("reference_count"),
+    )
+
+
+@query("""SELECT doc_id AS ref_id, CASE WHEN doc_id % 400 + 8 < 300 THEN '10.1000/' || repeat('x', CAST(doc_id % 400 AS INT)) END AS doi,
+CAST(least(50, len(string_split(text, ' '))) AS INT) AS n_authors, CASE WHEN doc_id % 3 > 0 THEN 'https://example.org/' || doc_id END AS url,
+CASE WHEN doc_id % 2 = 0 THEN 'book' ELSE 'journalArticle' END AS type, CASE WHEN doc_id % 4 > 0 THEN lang END AS title, CASE WHEN doc_id % 5 > 0 THEN source END AS text
+FROM documents WHERE doc_id % 20 > 0""")
+def sanitize_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cache.sanitize(_records(spark, sf_dir))
+    return out.select("ref_id", F.try_element_at("identifiers", F.lit("DOI")).alias("doi"), F.size("authors").alias("n_authors"), "url", "type", "title", "text")
+
+
+@query("""WITH s AS (SELECT o_custkey AS item_key, CASE WHEN o_orderkey % 2 = 0 THEN 'API' ELSE 'PDF' END AS slot, max(CAST(epoch(o_orderdate) AS BIGINT)) AS t FROM orders GROUP BY ALL),
+k AS (SELECT item_key FROM s GROUP BY item_key ORDER BY max(t) DESC, item_key LIMIT 400)
+SELECT item_key, slot, t FROM s WHERE item_key IN (SELECT item_key FROM k)""")
+def cache_evict_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_key"), F.when(F.col("o_orderkey") % 2 == 0, "API").otherwise("PDF").alias("slot"), F.unix_timestamp("o_orderdate").alias("t"))
+    return cache.evict(o.groupBy("item_key", "slot").agg(F.max("t").alias("t")))
+
+
+@query("""WITH e AS (SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS t, CASE WHEN event_type <> 'error' THEN props END AS body FROM events), n AS (SELECT max(t) AS now FROM e)
+SELECT event_id, t FROM e, n WHERE now - t <= CASE WHEN body IS NULL THEN 600000 ELSE 604800000 END""")
+def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("t"), F.when(F.col("event_type") != "error", F.col("props")).alias("body"))
+    now = e.agg(F.max("t").alias("_now"))  # one row
+    return cache.fresh(e.join(F.broadcast(now)), F.col("_now"), 168 * 3600 * 1000).select("event_id", "t")
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, max(o_orderkey % 3) FILTER (WHERE o_totalprice > 100000) AS best, bool_or(o_orderkey % 2 = 0 AND o_totalprice > 100000) AS api,
+bool_or(o_orderkey % 2 = 1 AND o_totalprice > 100000) AS pdf FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS item_key, CASE WHEN api THEN 'API' WHEN pdf THEN 'PDF' ELSE 'fetch' END AS source FROM customer LEFT JOIN s ON c_custkey = k""")
+def cached_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    slots = o.select(F.col("o_custkey").alias("item_key"), F.when(F.col("o_orderkey") % 2 == 0, "API").otherwise("PDF").alias("slot"), F.when(F.col("o_totalprice") > 100000, F.array("o_orderkey")).otherwise(F.array().cast("array<bigint>")).alias("refs"))
+    return cache.cached_first(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_key")), slots)
+
+
+# ---------------------------------------------------------------- geometry and sequences
+
+
+@query("""WITH a AS (SELECT l_orderkey % 50 AS page, l_orderkey * 10 + l_linenumber AS id, l_quantity * 4 AS x, l_extendedprice / 100 AS y FROM lineitem WHERE l_orderkey % 40 = 0),
+p AS (SELECT l_orderkey % 50 AS page, l_orderkey * 10 + l_linenumber AS id, l_quantity * 4 AS x, l_extendedprice / 100 AS y FROM lineitem WHERE l_orderkey % 40 = 10),
+h AS (SELECT p.id AS point_id, a.id AS anchor_id, 0.25 * (p.x - a.x) ** 2 + (p.y - a.y) ** 2 AS d2 FROM p JOIN a USING (page))
+SELECT point_id, anchor_id, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, anchor_id) AS i FROM h WHERE d2 <= 3600) WHERE i = 1""")
+def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("m"), F.lit(1).alias("doc_id"), (F.col("l_orderkey") % 50).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") * 4).alias("x"), (F.col("l_extendedprice") / 100).alias("y"))
+    anchors = li.where("m = 0").select(F.col("id").alias("anchor_id"), "doc_id", "page", "x", "y", F.col("id").alias("ord"))
+    points = li.where("m = 10").select(F.col("id").alias("point_id"), "doc_id", "page", "x", "y")
+    return match.nearest(points, anchors).select("point_id", "anchor_id", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS n, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
+h AS (SELECT a.page * 10 + a.n AS box_id, b.page || '/' || b.n AS url, b.n FROM b a JOIN b ON a.page = b.page AND a.n <> b.n
+      AND a.x <= b.x + 10 AND b.x <= a.x + 10 AND a.y <= b.y + 10 AND b.y <= a.y + 10)
+SELECT box_id, arg_max(url, n) AS url FROM h GROUP BY box_id""")
+def rect_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").select(F.lit(1).alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("left"), (F.col("l_extendedprice") / 1000).alias("bottom"))
+    li = li.withColumn("right", F.col("left") + 10).withColumn("top", F.col("bottom") + 10)
+    boxes = li.select((F.col("page") * 10 + F.col("n")).alias("box_id"), "doc_id", "page", "n", "left", "bottom", "right", "top")
+    others = li.select("doc_id", "page", F.col("n").alias("seq"), "left", "bottom", "right", "top", F.concat_ws("/", F.col("page").cast("string"), F.col("n").cast("string")).alias("url"))
+    both = boxes.join(others.select("doc_id", "page", "seq", "url", *(F.col(c).alias(f"o_{c}") for c in ("left", "bottom", "right", "top"))), ["doc_id", "page"]).where("n <> seq and left <= o_right and o_left <= right and bottom <= o_top and o_bottom <= top")
+    return both.groupBy("box_id").agg(F.max_by("url", "seq").alias("url"))
+
+
+@query("""WITH l AS (SELECT o_custkey % 10 AS doc_id, o_orderkey // 100 AS page, o_orderkey AS line_id, CAST(floor(o_totalprice / 300) AS BIGINT) AS x, o_orderpriority AS key FROM orders),
+g AS (SELECT doc_id, x, key FROM l GROUP BY ALL HAVING count(DISTINCT page) > 1)
+SELECT doc_id, page, line_id FROM l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = l.doc_id AND g.x = l.x AND g.key = l.key)""")
+def repeated_headers_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("doc_id"), F.floor(F.col("o_orderkey") / 100).alias("page"), F.col("o_orderkey").alias("line_id"), F.floor(F.col("o_totalprice") / 300).cast("double").alias("x"), F.col("o_orderpriority").alias("key"))
+    zero = F.lit(0.0)
+    lines = o.withColumn("y", zero).withColumn("w", zero).withColumn("h", zero)
+    return match.repeated_across_pages(lines).select("doc_id", "page", "line_id")
+
+
+QUERIES |= text_queries.QUERIES
+ORACLE_SQL |= text_queries.ORACLE_SQL
