@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 
 def value(v) -> str:
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, float):
         return str(int(v)) if v == int(v) else repr(round(v, 6))
