@@ -56,6 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """(row, id): each row as one struct, so that no name of an operator's own clashes with its columns, and its doc_id."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+
+
+def rows_of(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df with (left_semi) or without (left_anti) a doc_id of the single column of ids; nulls match nulls."""
+    ids = ids.toDF("_other")
+    return whole_rows(df).join(ids, F.col("id").eqNullSafe(F.col("_other")), how).select("row.*")
+
+
 # ---------------------------------------------------------------- native expressions
 
 

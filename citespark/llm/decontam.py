@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citespark.llm.common import ascii_lower, materialize
+from citespark.llm.common import ascii_lower, materialize, rows_of
 
 WINDOW, GRAM = 10, 4
 #: Fingerprints of the benchmark up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
@@ -128,5 +128,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) ->
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no run of ten words of a benchmark item occurs, with all their columns. Items of fewer
     words don't count here: they would take out clean documents. Rows with one doc_id go together."""
-    found = contamination(docs, benchmark, WINDOW).where("contaminated").select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    found = contamination(docs, benchmark, WINDOW).where("contaminated").select("doc_id").distinct()
+    return rows_of(docs, found, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citespark.llm.common import whole_rows
+
 #: Relative error of the sketches: 64 registers in seven longs. Five sites fill one register alone once in 16 million lines.
 ERROR = 0.15
 SITES = 5
@@ -32,15 +34,8 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     )
 
 
-def clean_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """All columns of docs (doc_id, text, source are used), text without the lines that `sites` distinct sources or more
-    share, n_chars (if docs has it) anew, and _n_lines, _n_removed.
-
-    Lines are split at \\n and compared without outer spaces; blank ones stay. The document of the smallest doc_id keeps
-    a shared line, so that one copy of each remains. A null source is no site. Null texts stay null with no lines; an
-    empty text is one blank line. Rows with one doc_id count as one document, null doc_ids as one too, after all others.
-    An empty table gives an empty result. The hot lines are aggregated map-side, and the join that finds their rows can
-    be split by adaptive execution."""
+def _cleaned(docs: DataFrame, sites: int) -> DataFrame:
+    """(row, id, text, n_lines, n_removed): the rows as they are, and their texts without shared lines."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     shared = boilerplate(own, sites)
     lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).where(F.trim("l") != "").select("doc_id", line_hash(F.col("l")).alias("line"))
@@ -48,14 +43,38 @@ def clean_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
         lines.join(shared, "line")
         .where(~F.col("doc_id").eqNullSafe(F.col("first")))
         .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set("line").alias("_gone"))
+        .agg(F.collect_set("line").alias("gone"))
     )
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    parts = F.split(F.col("text").cast("string"), "\n")
-    kept = F.filter(parts, lambda l: (F.trim(l) == "") | ~F.array_contains("_gone", line_hash(l)))
-    out = out.withColumn("_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    out = out.withColumn("_n_removed", F.when(F.col("_gone").isNotNull(), F.col("_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_gone").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text").cast("string")))
+    out = whole_rows(docs).join(gone, F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    out = out.withColumn("text", F.col("row.text").cast("string")).withColumn("lines", F.split("text", "\n"))
+    kept = F.filter("lines", lambda l: (F.trim(l) == "") | ~F.array_contains("gone", line_hash(l)))
+    out = out.withColumn("kept", F.when(F.col("gone").isNotNull(), kept)).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long"))
+    return out.select(
+        "row",
+        "id",
+        F.when(F.col("gone").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"),
+        "n_lines",
+        F.when(F.col("gone").isNotNull(), F.col("n_lines") - F.size("kept")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+    )
+
+
+def line_report(docs: DataFrame, sites: int = SITES) -> DataFrame:
+    """Per row of docs (doc_id, text, source; other columns are ignored): doc_id, n_lines, n_removed, and text without the
+    lines that `sites` distinct sources or more share.
+
+    Lines are split at \\n and compared without outer spaces; blank ones stay. The document of the smallest doc_id keeps
+    a shared line, so that one copy of each remains. A null source is no site. Null texts stay null with no lines; an
+    empty text is one blank line. Rows with one doc_id count as one document, null doc_ids as one too, after all others.
+    An empty table gives an empty result. The hot lines are aggregated map-side, and the join that finds their rows can
+    be split by adaptive execution."""
+    return _cleaned(docs, sites).select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "text")
+
+
+def clean_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
+    """docs with all its columns, text as line_report has it, and n_chars, if docs has it, anew where lines went."""
+    out = _cleaned(docs, sites)
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("_n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_lines")).cast("long")).drop("_gone", "_kept", "_lines")
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")

@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from citespark.llm.common import batch, distinct_by_text, materialize, mix, runs, shingles, word_hashes, words
+from citespark.llm.common import batch, distinct_by_text, materialize, mix, runs, shingles, whole_rows, word_hashes, words
 from citespark.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -226,6 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, b
 
 def one_of_each(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; of rows with one doc_id one stays."""
-    kept = near_duplicates(docs, shingle, threshold).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, shingle, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("_other")).distinct()
+    rows = whole_rows(docs)
+    own = rows.join(kept, F.col("id") == F.col("_other"), "left_semi").dropDuplicates(["id"])
+    return own.unionByName(rows.where("id is null")).select("row.*")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citespark.llm.common import WHITE, materialize, mix, runs, shingles, word_hashes, words
+from citespark.llm.common import WHITE, materialize, mix, rows_of, runs, shingles, word_hashes, words
 
 ORDER, BITS = 4, 6
 #: Models of up to so many bytes in all are broadcast; else workers read their languages' models from the shared folder.
@@ -316,5 +316,4 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that judged() keeps, with all their columns. Of rows with one doc_id all stay if one is kept."""
-    kept = judged(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows_of(docs, judged(docs).where("kept").select("doc_id").distinct())

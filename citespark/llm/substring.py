@@ -75,13 +75,13 @@ _RUN = pa.schema([("doc_id", pa.int64()), ("span", pa.int64())])
 
 def _spans(batches):
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
+        ids = b.column(0)
         for at, buf, offsets in runs(b.column(1)):
             h, size, _, first = sentences(buf, offsets)
             a, _, s = spans(h, size, first)
             keep = _first_in_text(a, s, first)
             doc = np.searchsorted(first, a[keep], "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at + doc]), pa.array(s[keep].view(np.int64))], schema=_RUN)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + doc)), pa.array(s[keep].view(np.int64))], schema=_RUN)
 
 
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
