@@ -43,7 +43,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {_line(url)}"] * (url is not None) + [f"WARC-Payload-Digest: sha256:{digest}"]
+    head += ([] if url is None else [f"WARC-Target-URI: {_line(url)}"]) + [f"WARC-Payload-Digest: sha256:{digest}"]
     head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"] * revisit
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     c = zlib.compressobj(3, zlib.DEFLATED, 31)
@@ -127,16 +127,18 @@ def members(f, start: int, end: int, read: int = READ):
         at, buf = at + k, buf[k:]
         if at >= end:
             return
-        z, out, done = zlib.decompressobj(31), [], 0
+        z, out, done, head = zlib.decompressobj(31), [], 0, b""
         try:
             while not z.eof:
                 if done == len(buf) and not fill():
                     break
                 out.append(z.decompress(buf[done:]))
                 done = len(buf)
-                if len(out) == 1 and out[0] and not out[0].startswith(b"WARC/1."):
-                    raise zlib.error
-            good = z.eof and out and b"".join(out[:2]).startswith(b"WARC/1.")
+                if len(head) < 7:
+                    head += out[-1][:7]
+                    if not b"WARC/1.".startswith(head[:7]):
+                        raise zlib.error
+            good = z.eof and head.startswith(b"WARC/1.")
         except zlib.error:
             good = False
         if good:
