@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citespark.operators import cache, cascade, export, graph, match, paging
-from citespark.plans import text_queries
+from citespark.plans import item_queries, text_queries
 from citespark.plans.tables import PART_REFS, TITLES, WORK_REFS, norm_sql, part_refs, read, titles, work_refs
 
 FLAGSHIP = "coupling_top200"
@@ -463,5 +463,5 @@ def repeated_headers_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.repeated_across_pages(lines).select("doc_id", "page", "line_id")
 
 
-QUERIES |= text_queries.QUERIES
-ORACLE_SQL |= text_queries.ORACLE_SQL
+QUERIES |= text_queries.QUERIES | item_queries.QUERIES
+ORACLE_SQL |= text_queries.ORACLE_SQL | item_queries.ORACLE_SQL
