@@ -36,10 +36,11 @@ def sketch(values: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.ndarr
     count = np.diff(bounds)
     doc = np.repeat(np.arange(n), count)
     live, elements = np.flatnonzero(count), values
+    seeds = mix(np.arange(1, 2 * t + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for i in range(2 * t):
         if not len(live):
             break
-        h = mix(elements ^ mix(np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)))
+        h = mix(elements ^ seeds[i])
         key = doc * t + ((h >> np.uint64(40)) % np.uint64(t)).astype(np.int64) if i < t else doc * t + (i - t)
         new = open_[key]
         key, h = key[new], h[new]

@@ -11,10 +11,12 @@ from citespark.llm.minhash import one_of_each
 from citespark.llm.packing import pack_documents
 from citespark.llm.quality import good_documents
 from citespark.llm.queries import tokenizer_path
+from citespark.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the perplexity bands reject go."""
+    ship(spark)
     return good_documents(docs)
 
 
@@ -25,6 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
+    ship(spark)
     return one_of_each(docs)
 
 
@@ -35,6 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all packed sequences, with their ids."""
+    ship(spark)
     return pack_documents(docs, tokenizer_path())
 
 
