@@ -80,7 +80,11 @@ def _write(folder: str):
                     records += 1
                     size += len(data)
         if records:
-            fs.move(own, path)
+            try:
+                fs.move(own, path)
+            except OSError:  # some stores don't rename over the file of an attempt whose answer was lost
+                fs.delete_file(path)
+                fs.move(own, path)
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}.warc.gz"]), pa.array([size]), pa.array([records])], names=["path", "bytes", "records"])
         else:
             fs.delete_file(own)
