@@ -129,7 +129,7 @@ def node_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("origin_id", "work_id", F.round(graph.node_radius(F.col("citation_count"), F.col("kind") == "origin"), 6).alias("radius"))
 
 
-@query(f"""WITH {_EDGES} SELECT origin_id, source, target, kind, CASE kind WHEN 'direct' THEN 70.0 ELSE 46.0 END AS distance,
+@query(f"""WITH {_EDGES} SELECT origin_id, source, target, kind, CAST(CASE kind WHEN 'direct' THEN 70.0 ELSE 46.0 END AS DOUBLE) AS distance,
 round(CASE kind WHEN 'direct' THEN 0.3 ELSE least(1.0, weight / 6.0) END, 6) AS strength FROM e""")
 def edge_force_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph_edges(spark, sf_dir).withColumn("f", graph.force_parameters(F.col("kind"), F.col("weight")))

@@ -52,7 +52,7 @@ SAMPLES = (
 
 
 def samples(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SAMPLES)), "id long, text string")
+    return spark.createDataFrame(list(enumerate(SAMPLES)), "id int, text string")
 
 
 _VALUES = "v(id, text) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SAMPLES)) + ")"
