@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, b
     sk = materialize(docs.mapInArrow(_sketches(shingle, bands, rows), _SKETCH_T), "sketches")
     reps = sk.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     classed = sk.drop("bands").join(reps, ["s1", "s2"], "left").select("doc_id", "n_shingles", "rep")
-    classes = sk.join(reps, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["rep", "s1", "s2"])
+    own = reps.select("rep", F.col("s1").alias("r1"), F.col("s2").alias("r2"))
+    classes = sk.join(own, (sk.doc_id == own.rep) & (sk.s1 == own.r1) & (sk.s2 == own.r2)).dropDuplicates(["doc_id", "s1", "s2"])  # a hot set's rows stay apart
     spread = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "h"))
     buckets = spread.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(spread.join(buckets, ["band", "h"]), "buckets")
