@@ -25,8 +25,8 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     lines = lines.select("doc_id", "source", line_hash(F.col("l")).alias("line"))
     spread = lines.groupBy("line").agg(F.approx_count_distinct("source", ERROR).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
     near = spread.where(F.col("n") <= 2 * sites)
-    pairs = lines.select("line", "source").join(near.select("line"), "line", "left_semi")
-    exact = pairs.where("source is not null").distinct().groupBy("line").agg(F.count("*").alias("exact"))
+    pairs = lines.select("line", "source").where("source is not null").distinct()  # before the join, which a hot line would skew
+    exact = pairs.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("*").alias("exact"))
     return (
         spread.join(exact, "line", "left")
         .where(F.when(F.col("n") <= 2 * sites, F.col("exact") >= sites).otherwise(F.lit(True)))
