@@ -19,6 +19,8 @@ from citespark.llm.common import WHITE, materialize, mix, rows_of, runs, shingle
 ORDER, BITS = 4, 6
 #: Models of up to so many bytes in all are broadcast; else workers read their languages' models from the shared folder.
 BROADCAST_BYTES = 64 << 20
+#: Bands of up to so many languages (three numbers each) are broadcast, so that a common language isn't one task's.
+BROADCAST_LANGUAGES = 100_000
 #: A document is kept between median - LOWER * spread and median + UPPER * spread of its language, in nats a character;
 #: the spread is the larger distance of a quartile from the median, or LEAST_SPREAD.
 LOWER, UPPER, LEAST_SPREAD = 10.0, 8.0, 0.02
@@ -309,6 +311,8 @@ def judged(docs: DataFrame) -> DataFrame:
     q = scored.where("not base_failed").groupBy("row_lang").agg(F.percentile_approx("score", [0.25, 0.5, 0.75], 10000).alias("q"))
     spread = F.greatest(F.col("q")[2] - F.col("q")[1], F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
     bands = q.select(F.col("row_lang").alias("_lang"), (F.col("q")[1] - LOWER * spread).alias("lower"), (F.col("q")[1] + UPPER * spread).alias("upper"))
+    if table.count() <= BROADCAST_LANGUAGES:
+        bands = F.broadcast(bands)
     out = scored.join(bands, F.col("row_lang") == F.col("_lang"), "left")
     keep = ~F.col("base_failed") & F.col("score").between(F.col("lower"), F.col("upper"))
     return out.select("doc_id", *_STATS, "base_failed", "score", "lower", "upper", F.coalesce(keep, F.lit(False)).alias("kept"))
