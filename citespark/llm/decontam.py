@@ -10,17 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citespark.functions.text import let
 from citespark.llm.common import ascii_lower, materialize, rows_of
 
 WINDOW, GRAM = 10, 4
 #: Fingerprints of the benchmark up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
-_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def word_array(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _NOT_WORD), "")
+    """The words as they are written; only their hashes are of lower case, which spares a pass over the whole text."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _NOT_WORD), "")
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(ascii_lower(x)))
 
 
 def _two(left: str, right: str, shift: int, less: int, how) -> Column:
@@ -30,9 +36,8 @@ def _two(left: str, right: str, shift: int, less: int, how) -> Column:
 
 
 def with_windows(df: DataFrame, full: bool) -> DataFrame:
-    """Adds _m, the least 4-gram hash of each run of ten words of _w, and with full also _g, the run's own hash."""
-    df = df.withColumn("_n", F.size("_w"))
-    df = df.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
+    """Adds _m, the least 4-gram hash of each run of ten words of _h, and with full also _g, the run's own hash."""
+    df = df.withColumn("_n", F.size("_h"))
     df = df.withColumn("_p2", _two("_h", "_h", 1, 1, lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn("_p4", _two("_p2", "_p2", 2, 3, lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn("_m2", _two("_p4", "_p4", 1, 4, lambda a, b: F.least(a, b)))
@@ -40,21 +45,22 @@ def with_windows(df: DataFrame, full: bool) -> DataFrame:
     df = df.withColumn("_m", _two("_m4", "_m4", 3, 9, lambda a, b: F.least(a, b)))
     if full:
         df = df.withColumn("_p8", _two("_p4", "_p4", 4, 7, lambda a, b: F.xxhash64(a, b))).withColumn("_g", _two("_p8", "_p2", 8, 9, lambda a, b: F.xxhash64(a, b)))
-    return df.drop("_h", "_p2", "_p4", "_p8", "_m2", "_m4")
+    return df.drop("_p2", "_p4", "_p8", "_m2", "_m4")
 
 
 def _short(length: int) -> Column:
     """Hashes of all runs of so many words, fewer than ten."""
-    n = F.size("_w") - (length - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("_w", i, F.lit(length))))).otherwise(F.array().cast("array<bigint>"))
-
-
-def _is(length: Column):
-    return lambda s: s["k"] == length
+    n = F.size("_h") - (length - 1)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("_h", i, F.lit(length))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _place(wanted: str, length: Column):
-    return lambda h, i: F.when(F.array_contains(wanted, h), F.struct(i.alias("at"), length.alias("k"), h.alias("g")))
+def _places(own: Column, grams: Column, k: int) -> Column:
+    """(at, k, g) of the runs of k words that are among own. The wanted hashes are bound once for all places; as a column of
+    their own they would be put into the inner function by the optimizer, and be computed anew for each place."""
+    length = F.lit(k)
+    wanted = F.transform(F.filter(own, lambda s: s["k"] == length), lambda s: s["g"])
+    place = lambda w: lambda h, i: F.when(F.array_contains(w, h), F.struct(i.alias("at"), length.alias("k"), h.alias("g")))
+    return let(wanted, lambda w: F.filter(F.transform(grams, place(w)), lambda s: s.isNotNull()))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) -> DataFrame:
@@ -64,25 +70,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) ->
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. Each run of ten words
     of an item is a window; an item of fewer words, but of min_words at least, is one window as a whole. A word inside an
     occurrence of a window is hit. Null and empty texts have no words and no hits; a null item_id is not listed, but its
-    words count; repeated items and rows count as they stand; with no items nothing is hit. Equal 64-bit hashes of runs
-    count as equal runs.
+    words count; repeated items and rows count as they stand; with no items nothing is hit. Equal 64-bit hashes of words
+    and runs count as equal ones.
 
     The documents' fingerprints are joined with the benchmark's (broadcast only below BROADCAST_ROWS); those that share
     one get the windows of the items concerned, and the hits are extended to whole windows on the full text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_t", F.xxhash64("text"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), word_array(F.col("text").cast("string")).alias("_w"))
-    items = items.where(F.size("_w") >= max(1, min_words)).withColumn("k", F.least(F.size("_w"), F.lit(WINDOW)))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), word_hashes(word_array(F.col("text").cast("string"))).alias("_h"))
+    items = items.where(F.size("_h") >= max(1, min_words)).withColumn("k", F.least(F.size("_h"), F.lit(WINDOW)))
     whole = with_windows(items.where(F.col("k") == WINDOW), True).select("item", "k", F.array_distinct("_m").alias("f"), F.array_distinct("_g").alias("g"))
-    few = items.where(F.col("k") < WINDOW).select("item", "k", F.array(F.xxhash64("_w")).alias("f"), F.array(F.xxhash64("_w")).alias("g"))
+    few = items.where(F.col("k") < WINDOW).select("item", "k", F.array(F.xxhash64("_h")).alias("f"), F.array(F.xxhash64("_h")).alias("g"))
     table = materialize(whole.unionByName(few), "items")
     lengths = sorted(r.k for r in table.where(f"k < {WINDOW}").select("k").distinct().collect())  # nine at most
 
     prints = table.select("item", "k", F.explode("f").alias("f")).groupBy("k", "f").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("nameless"))
     if prints.count() <= BROADCAST_ROWS:
         prints = F.broadcast(prints)
-    worded = docs.select("_id", "_t", word_array(F.col("text")).alias("_w"))
-    own = with_windows(worded.where(F.size("_w") >= WINDOW), False).select("_id", "_t", F.lit(WINDOW).alias("k"), F.explode(F.array_distinct("_m")).alias("f"))
+    worded = docs.select("_id", "_t", word_hashes(word_array(F.col("text"))).alias("_h"))
+    own = with_windows(worded, False).select("_id", "_t", F.lit(WINDOW).alias("k"), F.explode(F.array_distinct("_m")).alias("f"))
     for k in lengths:
         own = own.unionByName(worded.select("_id", "_t", F.lit(k).alias("k"), F.explode(F.array_distinct(_short(k))).alias("f")))
     found = own.join(prints, ["k", "f"]).groupBy("_id", "_t").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("nameless").alias("nameless"))
@@ -95,16 +101,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) ->
     )
 
     out = docs.join(windows, ["_id", "_t"], "left").select("doc_id", "_items", word_array(F.col("text")).alias("_all"))
-    out = out.withColumn("_w", F.when(F.col("_items").isNotNull(), F.col("_all")))
+    out = out.withColumn("_h", F.when(F.col("_items").isNotNull(), word_hashes(F.col("_all"))))
     out = with_windows(out.withColumn("_n_words", F.size("_all").cast("long")), True)
     out = out.withColumn("_own", F.array_distinct(F.flatten(F.transform("_items", lambda t: t["g"]))))
     lists = [(WINDOW, F.col("_g"))] + [(k, _short(k)) for k in lengths]
-    hits = []
-    for k, grams in lists:
-        wanted, length = f"_wanted{k}", F.lit(k)
-        out = out.withColumn(wanted, F.transform(F.filter("_own", _is(length)), lambda s: s["g"]))
-        hits.append(F.filter(F.transform(grams, _place(wanted, length)), lambda s: s.isNotNull()))
-    out = out.withColumn("_hits", F.when(F.col("_items").isNotNull(), F.array_sort(F.concat(*hits))))
+    hits = let(F.col("_own"), lambda own: F.concat(*(_places(own, grams, k) for k, grams in lists)))
+    out = out.withColumn("_hits", F.when(F.col("_items").isNotNull(), F.array_sort(hits)))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         "_hits",
@@ -115,8 +117,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) ->
         ),
         lambda a: a["n"],
     )
-    out = out.withColumn("_seen", F.array_distinct(F.transform("_hits", lambda s: F.struct(s["k"].alias("k"), s["g"].alias("g")))))
-    named = F.transform(F.filter("_items", lambda t: t["item"].isNotNull() & F.arrays_overlap(t["g"], F.col("_seen"))), lambda t: t["item"])
+    seen = F.array_distinct(F.transform("_hits", lambda s: F.struct(s["k"].alias("k"), s["g"].alias("g"))))
+    found_in = lambda seen: F.filter("_items", lambda t: t["item"].isNotNull() & F.arrays_overlap(t["g"], seen))
+    named = F.transform(let(seen, found_in), lambda t: t["item"])
     return out.select(
         "doc_id",
         F.col("_n_words").alias("n_words"),
