@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -17,6 +18,13 @@ GROUP_TOKENS = 16_000_000
 WORDS = 700_000
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes. The tokenizer never joins characters across white space, so
     that each white-space separated word is encoded once and looked up from then on."""
@@ -37,7 +45,7 @@ class Tokens:
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                self.known[w] = pack_ids(e.ids)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -152,7 +160,7 @@ def _pack(path: str, end: int, size: int):
         held = 0
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
-        stop = np.array([end], "<u4").tobytes()
+        stop = pack_ids([end])
 
         def flush():
             nonlocal ids, texts, held, sequence
