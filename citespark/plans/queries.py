@@ -330,6 +330,14 @@ def cascade_first_answering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.first_answering(a, cascade.REFERENCES).select("item_id", "source", "ref")
 
 
+@query(ORACLE_SQL["cascade_first_answering"].replace(" WHERE o_orderkey % 3 > 0", ""))
+def cascade_first_answering_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, with all orders as answers."""
+    names = F.array(*map(F.lit, ("semanticscholar", "openalex", "crossref", "other", "crossref")))
+    a = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id"), F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("source"), F.col("o_orderkey").alias("ref"))
+    return cascade.first_answering(a, cascade.REFERENCES).select("item_id", "source", "ref")
+
+
 @query("""WITH s AS (SELECT c_custkey AS item_id, unnest(['semanticscholar', 'openalex']) AS source, unnest([0, 1]) AS p FROM customer),
 q AS (SELECT *, (item_id + p) % 3 > 0 AS answered, CASE WHEN (item_id + p) % 3 > 0 THEN (item_id * (p + 1)) % 4 ELSE 0 END AS n FROM s),
 g AS (SELECT item_id, min(p) FILTER (WHERE answered AND n > 0) AS g, max(p) FILTER (WHERE answered AND n = 0) AS e FROM q GROUP BY item_id)
@@ -440,6 +448,20 @@ def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.nearest(points, anchors).select("point_id", "anchor_id", F.round("distance", 6).alias("distance"))
 
 
+def points_and_anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All rows of lineitem: those with odd line numbers are anchors, the others points. A page has the lines of 20 order
+    numbers, so that its size doesn't follow the table's."""
+    li = read(spark, sf_dir, "lineitem").select(F.lit(1).alias("doc_id"), F.expr("l_orderkey div 20").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") * 4).alias("x"), (F.col("l_extendedprice") / 100).alias("y"), (F.col("l_linenumber") % 2 == 1).alias("odd"))
+    return li.where("not odd").select(F.col("id").alias("point_id"), "doc_id", "page", "x", "y"), li.where("odd").select(F.col("id").alias("anchor_id"), "doc_id", "page", "x", "y", F.col("id").alias("ord"))
+
+
+@query("""WITH l AS (SELECT l_orderkey // 20 AS page, l_orderkey * 10 + l_linenumber AS id, l_quantity * 4 AS x, l_extendedprice / 100 AS y, l_linenumber % 2 = 1 AS odd FROM lineitem),
+h AS (SELECT p.id AS point_id, a.id AS anchor_id, 0.25 * (p.x - a.x) ** 2 + (p.y - a.y) ** 2 AS d2 FROM l p JOIN l a ON p.page = a.page AND NOT p.odd AND a.odd)
+SELECT point_id, anchor_id, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, anchor_id) AS i FROM h WHERE d2 <= 3600) WHERE i = 1""")
+def nearest_anchor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.nearest(*points_and_anchors(spark, sf_dir)).select("point_id", "anchor_id", F.round("distance", 6).alias("distance"))
+
+
 @query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS n, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
 h AS (SELECT a.page * 10 + a.n AS box_id, b.page || '/' || b.n AS url, b.n FROM b a JOIN b ON a.page = b.page AND a.n <> b.n
       AND a.x <= b.x + 10 AND b.x <= a.x + 10 AND a.y <= b.y + 10 AND b.y <= a.y + 10)
