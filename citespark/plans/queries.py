@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,11 +66,16 @@ def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _neighbourhood(spark: SparkSession, sf_dir: str, last: int, max_nodes: int = 50):
-    """Origins are the parts up to a number; references are the suppliers' other parts with the next numbers, citing works
-    those of earlier ones, related works those of the same brand."""
+    """The neighbourhoods of the parts up to a number."""
+    return _around(spark, sf_dir, lambda p: p.where(F.col("work_id") <= last), max_nodes)
+
+
+def _around(spark: SparkSession, sf_dir: str, chosen: Callable[[DataFrame], DataFrame], max_nodes: int = 50):
+    """Origins are the chosen parts; references are the suppliers' other parts with the next numbers, citing works those of
+    earlier ones, related works those of the same brand."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("work_id"), "p_brand", "p_size")
     counts = graph.citation_counts(work_refs(spark, sf_dir)).select(F.col("ref_id").alias("work_id"), "citation_count")
-    o = p.where(F.col("work_id") <= last).select(F.col("work_id").alias("origin_id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    o = chosen(p).select(F.col("work_id").alias("origin_id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
     pairs = o.join(p, F.col("size") == F.col("p_size")).where("origin_id <> work_id")
     refs = pairs.where("work_id > origin_id").select("origin_id", "work_id", F.col("work_id").alias("ord"))
     cites = pairs.where("work_id < origin_id").select("origin_id", "work_id", (-F.col("work_id")).alias("ord"))
@@ -149,6 +156,53 @@ def graph_recentre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.recentred(n.select("origin_id").distinct(), n.where("rank = 2").select("origin_id", "work_id"))
 
 
+# The same with every part as an origin.
+
+
+def _every_origin(name: str) -> str:
+    return ORACLE_SQL[name].replace(" WHERE p_partkey <= 40", "")
+
+
+@query(_every_origin("graph_nodes_multi_origin"))
+def graph_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _around(spark, sf_dir, lambda p: p)
+
+
+@query(_every_origin("graph_edges"))
+def graph_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(graph_nodes_all(spark, sf_dir), part_refs(spark, sf_dir), min_shared=2)
+
+
+@query(_every_origin("graph_in_library"))
+def graph_in_library_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.in_library(graph_nodes_all(spark, sf_dir), read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("work_id")))
+
+
+@query(_every_origin("node_radius"))
+def node_radius_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = graph_nodes_all(spark, sf_dir)
+    return n.select("origin_id", "work_id", F.round(graph.node_radius(F.col("citation_count"), F.col("kind") == "origin"), 6).alias("radius"))
+
+
+@query(_every_origin("edge_force_params"))
+def edge_force_params_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graph_edges_all(spark, sf_dir).withColumn("f", graph.force_parameters(F.col("kind"), F.col("weight")))
+    return e.select("origin_id", "source", "target", "kind", "f.distance", F.round("f.strength", 6).alias("strength"))
+
+
+@query(_every_origin("label_top_k"))
+def label_top_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.labelled(node_radius_all(spark, sf_dir), 360)
+
+
+@query(f"WITH {_nodes_sql(40).replace(' WHERE p_partkey <= 40', '')} SELECT * FROM n WHERE origin_id IN (SELECT work_id FROM n WHERE rank = 2)")
+def graph_recentre_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second node of each neighbourhood becomes an origin, and the graphs around these are built."""
+    n = graph_nodes_all(spark, sf_dir)
+    new = graph.recentred(n.select("origin_id").distinct(), n.where("rank = 2").select("origin_id", "work_id"))
+    return _around(spark, sf_dir, lambda p: p.join(new.withColumnRenamed("origin_id", "work_id"), "work_id", "left_semi"))
+
+
 # ---------------------------------------------------------------- hydration
 
 
