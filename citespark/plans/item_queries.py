@@ -61,6 +61,42 @@ def own_related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.related_items(_pairs(spark, sf_dir, 0), lib).select("item_key", "related_key", "title")
 
 
+# The same with all orders; for the toggle, those with even keys are there and those with odd ones are toggled.
+
+
+def _every_pair(spark: SparkSession, sf_dir: str, halves: tuple[int, ...] = (0, 1)) -> DataFrame:
+    o = read(spark, sf_dir, "orders").where((F.col("o_orderkey") % 2).isin(*halves))
+    return o.select(F.col("o_custkey").alias("item_key"), (F.col("o_orderkey") % 97).alias("related_key")).distinct()
+
+
+def _every_order(name: str) -> str:
+    return ORACLE_SQL[name].replace(" WHERE o_orderkey % 4 = 0", "")
+
+
+@query(_every_order("relations_symmetric"))
+def relations_symmetric_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = _every_pair(spark, sf_dir)
+    return items.with_relations(new.limit(0), new)
+
+
+@query(_every_order("relations_removed"))
+def relations_removed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = _every_pair(spark, sf_dir)
+    return items.without_relations(items.with_relations(new.limit(0), new), new.where("item_key % 3 = 0"))
+
+
+@query(ORACLE_SQL["relation_toggle"].replace("o_orderkey % 4", "o_orderkey % 2"))
+def relation_toggle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = _every_pair(spark, sf_dir, (0,))
+    return items.toggled(items.with_relations(new.limit(0), new), _every_pair(spark, sf_dir, (1,)))
+
+
+@query(_every_order("own_related_items"))
+def own_related_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_key"), F.col("p_name").alias("title"))
+    return items.related_items(_every_pair(spark, sf_dir), lib).select("item_key", "related_key", "title")
+
+
 @query("""SELECT p_partkey AS ref_id, CASE p_size % 3 WHEN 0 THEN 'journalArticle' WHEN 1 THEN 'book' ELSE 'preprint' END AS item_type, p_name AS title,
 CASE WHEN p_partkey % 2 = 0 THEN '2020-1-5' ELSE '2019' END AS date, CASE WHEN p_size % 3 = 0 THEN p_brand END AS publication_title,
 CASE WHEN p_size % 3 <> 1 THEN '10.1/' || p_partkey END AS doi, CASE WHEN p_partkey % 5 > 0 THEN 'https://x.org/' || p_partkey END AS url,
