@@ -14,6 +14,8 @@ from citespark.functions.text import let
 from citespark.llm.common import ascii_lower, materialize, rows_of
 
 WINDOW, GRAM = 10, 4
+#: Words of the shortest benchmark item that takes documents out of the pipeline.
+LEAST_WORDS = 3
 #: Fingerprints of the benchmark up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -129,7 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) ->
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no run of ten words of a benchmark item occurs, with all their columns. Items of fewer
-    words don't count here: they would take out clean documents. Rows with one doc_id go together."""
-    found = contamination(docs, benchmark, WINDOW).where("contaminated").select("doc_id").distinct()
+    """The rows of docs in which no window of a benchmark item occurs, with all their columns: no run of ten words, and of
+    items of fewer words not the whole item. Items of fewer than LEAST_WORDS words don't count here, since one or two words
+    occur in clean documents too. Rows with one doc_id go together."""
+    found = contamination(docs, benchmark, LEAST_WORDS).where("contaminated").select("doc_id").distinct()
     return rows_of(docs, found, "left_anti")

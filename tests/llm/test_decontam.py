@@ -63,6 +63,15 @@ def test_empty_tables_and_filter(spark, awkward, no_docs):
     assert without_contaminated(awkward, item).where("doc_id = 5").count() == 0
 
 
+def test_filter_takes_short_items(spark):
+    """Items of three to nine words take out the documents that hold them whole; those of one or two words don't."""
+    texts = ["so Foo BAR, baz it is", "foo bar qux baz", "one two three four five six seven eight nine and more", "one two three four five six seven eight", "lone pair", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [(1, "foo bar baz"), (2, "one two three four five six seven eight nine"), (3, "lone pair"), (4, "qux"), (5, None)]
+    out = without_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 5]
+
+
 def test_native_plan(spark, data):
     plan = QUERIES["op3_decontamination"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
