@@ -176,6 +176,30 @@ def encoded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", tx.encode_component(F.coalesce("title", F.lit(""))).alias("encoded"))
 
 
+_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""SELECT doc_id, regexp_replace({_STRIPPED.format("'[' || doc_id || ']  ' || text")}, '^(\[[0-9]+\]|[0-9]+[.)])\s*', '') AS plain,
+CASE WHEN regexp_matches({_STRIPPED.format("text")}, '^[A-Z]{{1,3}}$') THEN '' ELSE regexp_replace(text, '[\s0-9]+', '', 'g') END AS bare, CASE WHEN doc_id % 2 = 0 THEN 'Poly' || lang ELSE 'Poly ' || lang END AS joined FROM documents""")
+def small_text_functions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, over every document's whole text."""
+    k = F.col("doc_id")
+    numbered = F.concat(F.lit("["), k.cast("string"), F.lit("]  "), "text")
+    return read(spark, sf_dir, "documents").select("doc_id", tx.without_list_number(numbered).alias("plain"), tx.without_page_number("text").alias("bare"), tx.joined_lines(F.when(k % 2 == 0, "Poly-").otherwise("Poly"), F.col("lang")).alias("joined"))
+
+
+def _encoded_sql(c: str) -> str:
+    out = f"url_encode({c})"
+    for a, b in (("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2A", "*"), ("%7E", "~")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+@query(f"""WITH {TITLES} SELECT page_id, {_encoded_sql("coalesce(title, '')")} AS encoded FROM ti""")
+def encoded_titles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titles(spark, sf_dir).select("page_id", tx.encode_component(F.coalesce("title", F.lit(""))).alias("encoded"))
+
+
 @query("""SELECT p_partkey AS id, coalesce(CASE WHEN p_partkey % 7 = 0 THEN 's' || p_partkey END, CASE WHEN p_partkey % 2 = 0 THEN 'DOI:10.1/' || p_partkey END, CASE WHEN p_partkey % 3 = 0 THEN 'arXiv:' || p_partkey END,
 CASE WHEN p_partkey % 5 = 0 THEN 'PMID:' || p_partkey END) AS paper, CASE WHEN p_partkey % 2 = 0 THEN 'F' || p_partkey END AS file_name, CASE WHEN p_partkey % 2 = 0 THEN 'CJFD' END AS db_code FROM part""")
 def paper_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,62 @@ def parse_ref_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark).select("id", tx.parse_reference("text", 2026).alias("p")).select("id", "p.*")
 
 
+# The same over the whole texts of documents and pages instead of the samples.
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): documents, and pages with negative ids."""
+    p = read(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("html").alias("text"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(p)
+
+
+def _of_texts(name: str) -> str:
+    return ORACLE_SQL[name].replace(_VALUES, "v AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, html FROM pages)")
+
+
+@query(_of_texts("extract_identifiers"))
+def extract_identifiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", tx.identifiers("text").alias("i")).select("id", "i.*")
+
+
+@query(_of_texts("extract_url"))
+def extract_url_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", tx.first_url("text").alias("url"))
+
+
+@query(_of_texts("is_doi"))
+def is_doi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", tx.is_doi("text").alias("is_doi"))
+
+
+@query(_of_texts("is_chinese"))
+def is_chinese_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", tx.is_chinese("text").alias("is_chinese"))
+
+
+@query(_of_texts("num_at_start"))
+def num_at_start_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", tx.list_number("text").alias("number"))
+
+
+@query(_of_texts("ref_type"))
+def ref_type_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", tx.entry_class("text").alias("class"))
+
+
+@query(_of_texts("heading_and_trailing"))
+def heading_and_trailing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", tx.is_heading("text").alias("heading"), tx.is_trailing("text").alias("trailing"))
+
+
+def parse_ref_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", tx.parse_reference("text", 2026).alias("p")).select("id", "p.*")
+
+
+#: Queries over whole texts that SQL can't express.
+WITHOUT_SQL = {"parse_ref_text_all": parse_ref_text_all}
+
+
 @query("""SELECT o_orderkey AS id, CAST(year(o_orderdate) AS VARCHAR) AS year, strftime(o_orderdate, '%b %Y') AS shown FROM orders""")
 def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.date_format("o_orderdate", "yyyy-MM-dd")
