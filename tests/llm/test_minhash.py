@@ -8,7 +8,7 @@ import pytest
 
 from citespark.llm.common import distinct_by_text
 from citespark.llm.components import components
-from citespark.llm.minhash import BANDS, ROWS, forest, near_duplicates, one_of_each, sketch
+from citespark.llm.minhash import COORDINATES, MISS, banding, forest, near_duplicates, one_of_each, sketch
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,7 +92,67 @@ def test_sketch_fills_and_estimates():
     s = sketch(values, np.array([0, len(x), len(x) + len(y), len(values)]), 1024)
     assert (s != np.iinfo(np.uint64).max).all()
     assert abs((s[0] == s[1]).mean() - 640 / 800) < 0.06
-    assert BANDS * ROWS == 128
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 0.85, 0.95])
+def test_banding_keeps_links(threshold):
+    bands, rows = banding(threshold)
+    assert bands * rows <= COORDINATES and (1 - threshold**rows) ** bands <= MISS
+
+
+def test_pairs_at_a_low_threshold(spark):
+    """Planted pairs of similarity just over one half: all are found, whatever number of bands they share."""
+    r = random.Random(8)
+    rows = []
+    for i in range(500):
+        common = [f"c{i}x{j}" for j in range(70)]
+        for side in (0, 1):
+            rows.append((2 * i + side, " ".join(common + [f"u{r.randrange(10**9)}" for _ in range(34)])))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 0.5).collect()
+    lost = sum(x.doc_id % 2 == 1 and x.component_id != x.doc_id - 1 for x in got)
+    assert lost == 0 and len(got) == 1000
+
+
+def test_texts_of_one_document(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon", "one two three four five", "red green blue white black", "")
+    rows = [(5, a), (5, b), (3, a), (9, b), (7, c), (7, d), (8, c), (None, a)]
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).collect() if x.doc_id is not None)
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (7, 7, True), (8, 7, False), (9, 3, False)]
+    out = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in out) == [(0, a), (3, a), (7, d)]
+
+
+def near_copies(n, seed, length=80, changes=4):
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(length)]
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randrange(0, changes)):
+            w[r.randrange(length)] = f"x{r.randrange(10**6)}"
+        yield i, " ".join(w)
+
+
+def test_block_pairs_grow_with_the_blocks(spark, monkeypatch):
+    """A large group of near copies and some that only resemble it: far fewer pairs of blocks than all."""
+    import citespark.llm.minhash as m
+
+    seen = []
+    whole = m.materialize
+    monkeypatch.setattr(m, "materialize", lambda df, name: seen.append((name, out := whole(df, name))) or out)
+    rows = list(near_copies(3000, 3, 120, 3)) + [(10_000 + i, t) for i, t in near_copies(60, 3, 120, 30)]
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.8).collect()
+    placed = dict(seen)["placed"]
+    alone = placed.where("pure is null").count()
+    print("placed", placed.count(), alone, placed.select("block").distinct().count())
+    assert alone < 0.1 * placed.count()
+    labels = {x.doc_id: x.component_id for x in got}
+    assert len({labels[i] for i in range(3000)}) < 3000
+    s = sets(rows[:40] + rows[-60:], 3)
+    for a in s:
+        for b in s:
+            both = len(s[a] & s[b])
+            if a < b and 100 * both >= 80 * (len(s[a]) + len(s[b]) - both):
+                assert labels[a] == labels[b]
 
 
 def test_distinct_by_text():
