@@ -1,13 +1,16 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-The tagger is trained in numpy on made-up texts whose spans are known, so that no labels need to be shipped and its size
-doesn't follow the data. It runs over overlapping windows around the characters without which no span can be; the
-scores of overlapping windows are joined into one row of scores for each region, which is decoded as a whole.
+The tagger reads every character of every text, in overlapping windows. It is trained in numpy on labelled spans: those of
+a table that the caller gives, or of made-up texts. A character takes its scores from the window in which it is farthest
+from the ends, and the tags are decoded over whole texts: stretches between characters that no best path can tag are
+decoded by themselves, which gives the same tags.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import random
 import re
 
 import numpy as np
@@ -16,7 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, REACH = 64, 32, 24
+#: What the tagger finds: the kinds of the fixed patterns in other forms too, and keys, tokens and passwords.
+TAGGED = (*KINDS, "secret")
+#: Characters of a window, and of its way to the next one; windows scored at a time.
+WINDOW, STRIDE, BATCH = 256, 224, 384
+#: A stretch that stays undecided for so many characters is cut where O leads most in its second half.
+LONGEST = 384
+#: Rows of a table of labelled texts that are used for training, at most.
+MOST_LABELLED = 4000
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -65,22 +75,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-# ---------------------------------------------------------------- made-up training texts
+# ---------------------------------------------------------------- labelled texts
 
+_PARTS = "th er on an in re nd he ou ti ea en st it is or te ver ung sch ein que eau ent ion aux ció ado os ar la der ü é ñ".split()
+_FAR = ("中文字天地人大小", "абвгдежзик", "αβγδεζηθ", "あいうえおかき", "مرحباسلام")
 
-def labelled_text(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
-    """A text of some words and numbers with the spans in it."""
-    pick = lambda x: x[int(r.integers(len(x)))]
-    num = lambda n: "".join(str(int(d)) for d in r.integers(0, 10, n))
-    parts = "th er on an in re nd he ou ti ea en st it is or te ver ung sch ein que eau ent ion aux ció ado os ar la der ü é ñ".split()
-    word = lambda: "".join(pick(parts) for _ in range(int(r.integers(1, 4))))
+
+def labelled_text(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A made-up text of words and numbers with the spans in it."""
+    pick, below = r.choice, r.randrange
+    num = lambda n: "".join(r.choices("0123456789", k=n))
+    drawn = lambda chars, n: "".join(r.choices(chars, k=n))
+    parts = _PARTS if r.random() < 0.4 else ["".join(r.choices("bcdfghjklmnprstvwz", k=below(3)) + r.choices("aeiouy", k=1 + below(2)) + r.choices("lmnrst", k=below(3))) for _ in range(24)]
+    lower, alnum, hexa = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+
+    loud = r.random() < 0.1
+
+    def word():
+        w = "".join(pick(parts) for _ in range(below(1, 6)))
+        x = r.random()
+        return w.upper() + "!" * below(3) if loud else w.capitalize() if x < 0.12 else w.upper() if x < 0.15 else f"{w.upper()}-{pick(parts).upper()}" if x < 0.16 else w + pick(("***", "###", "%%", "&&")) if x < 0.17 else drawn(pick(_FAR), below(1, 9)) if x < 0.19 else w
+
+    plain = lambda: re.sub(r"[^a-z]", "x", "".join(pick(parts) for _ in range(below(1, 4))))
 
     def email():
-        a, b, c = word(), word(), pick("com org net de fr es io".split())
-        a = re.sub(r"[^a-z]", "x", a) + (f".{int(r.integers(1, 99))}" if r.random() < 0.5 else "")
-        b = re.sub(r"[^a-z]", "x", b) + (str(int(r.integers(0, 9))) if r.random() < 0.3 else "")
-        b += ".example" if r.random() < 0.5 else ""
-        return pick([f"{a}@{b}.{c}", f"{a}@{b}.{c}", f"{a} (at) {b} (dot) {c}", f"{a} [at] {b} [dot] {c}", f"{a}(at){b}.{c}"])
+        a, b, c = plain(), plain(), pick("com org net de fr es io".split())
+        a += pick([f".{plain()}", f"{below(1, 99)}", f".{below(1, 99)}", f"_{plain()}", "", ""])
+        b += (str(below(9)) if r.random() < 0.3 else "") + (".example" if r.random() < 0.4 else "")
+        return pick([f"{a}@{b}.{c}", f"{a}@{b}.{c}", f"{a} (at) {b} (dot) {c}", f"{a} [at] {b} [dot] {c}", f"{a}(at){b}.{c}", f"{a} @ {b}.{c}"])
+
+    def ip():
+        return pick([".".join(str(below(256)) for _ in range(4))] * 3 + [":".join(drawn(hexa, 4) for _ in range(8))])
 
     def card():
         n = pick([15, 16, 16, 16, 19])
@@ -92,61 +117,81 @@ def labelled_text(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int
 
     def phone():
         a, b, c = num(3), num(3), num(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+49 {num(3)} {num(7)}", f"00{int(r.integers(30, 60))} {num(2)} {num(4)} {num(4)}", f"+{int(r.integers(30, 60))} {num(1)} {num(2)} {num(2)} {num(2)} {num(2)}"])
+        return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+49 {num(3)} {num(7)}", f"00{below(30, 60)} {num(2)} {num(4)} {num(4)}", f"+{below(30, 60)} {num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"+1-{a}-{b}-{c}"])
+
+    def secret():
+        a = lambda n: drawn(alnum, n)
+        return pick([f"AKIA{drawn(alnum[26:], 16)}", f"sk-{a(below(24, 49))}", f"ghp_{a(36)}", f"xoxb-{num(11)}-{a(24)}", drawn(hexa, pick([32, 40, 64])), a(40), f"eyJ{a(30)}.{a(40)}.{a(30)}", a(below(20, 33))])
 
     def other():
-        y = int(r.integers(1850, 2030))
-        return pick([str(y), f"{y}-{int(r.integers(10, 13))}-{int(r.integers(10, 29))}", f"{int(r.integers(1, 29))}.{int(r.integers(1, 13))}.{y}", f"{num(2)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"${num(3)}", f"{num(2)}%", f"no. {num(3)}", f"{num(1)},{num(3)},{num(3)}", f"{num(2)}:{num(2)}", f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{y}-{y + 9}", f"p. {num(3)}-{num(3)}", num(5), num(8), f"({y})", f"@{word()}", f"{num(4)} {num(2)}"])
+        y = below(1850, 2030)
+        return pick([str(y), f"({pick(('about', 'a', 'at', 'as', 'all', 'do', 'not'))} {num(1)} {plain()})", f"({plain()} {plain()})", f"[{plain()}] {plain()}", f"({plain()}", f"{y}-{below(10, 13)}-{below(10, 29)}", f"{below(1, 29)}.{below(1, 13)}.{y}", f"{num(2)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"${num(3)}", f"{num(2)}%", f"no. {num(3)}", f"{num(1)},{num(3)},{num(3)}", f"{num(2)}:{num(2)}", f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{y}-{y + 9}", f"p. {num(3)}-{num(3)}", num(5), num(8), f"({y})", f"@{plain()}", f"{num(4)} {num(2)}", f"https://{plain()}.{plain()}.org/{plain()}/{num(4)}", f"#{drawn(hexa, 6)}", f"{plain()} at {plain()}", "x" * below(3, 40), "=" * below(3, 30), f"{plain()}_{plain()}({num(1)})", " ".join(num(below(1, 6)) for _ in range(6)), num(below(20, 60)), "|".join(num(3) for _ in range(4)), f"{num(2)} {num(3)} {num(3)}", f"{plain()}-{plain()}-{plain()}-{plain()}", f"<{plain()} {plain()}=\"{plain()}\">"])
 
-    kinds = (email, lambda: ".".join(str(int(x)) for x in r.integers(0, 256, 4)), card, phone)
+    kinds = (email, ip, card, phone, secret)
+    lead = (("mail: ", "write to ", "<"), ("host ", "from "), ("card ", "pay with "), ("call ", "tel. ", "Tel: "), ("key=", "api_key: ", "password: ", "token ", "secret = \""))
     text, spans = "", []
-    for _ in range(int(r.integers(6, 14))):
+    rare = r.random() < 0.5
+    for _ in range(below(10, 36)):
         x = r.random()
-        if x < 0.16:
-            k = int(r.integers(4))
-            s = kinds[k]()
-            spans.append((k, len(text), len(text) + len(s)))
-            text += s
+        if x < (0.02 if rare else 0.14):
+            k = below(len(kinds))
+            if r.random() < 0.3:
+                text += pick(lead[k])
+            made = kinds[k]()
+            spans.append((k, len(text), len(text) + len(made)))
+            text += made
+        elif x < 0.45:
+            text += other()
         else:
-            text += other() if x < 0.34 else word()
-        text += pick([" ", " ", " ", " ", ", ", ". ", "\n"])
+            text += word()
+        text += pick([" ", " ", " ", " ", " ", ", ", ". ", "\n", "; "])
     return text, spans
 
 
 # ---------------------------------------------------------------- the tagger
 
-_CLASS = np.full(128, 41, np.int64)
+_SIGNS = " \n.@-+()_%/:,[]=\"'<>#$*|;!?&~"
+#: 0 stands before and after a text, 1 to 26 are letters, 27 digits, then the signs, other ASCII, other scripts.
+_CLASS = np.full(128, 28 + len(_SIGNS), np.int16)
 for _c in range(26):
     _CLASS[97 + _c] = _CLASS[65 + _c] = 1 + _c
 _CLASS[48:58] = 27
-for _i, _c in enumerate(" \n.@-+()_%/:,"):
+for _i, _c in enumerate(_SIGNS):
     _CLASS[ord(_c)] = 28 + _i
-_N_CLASS, _N_TAGS = 44, 1 + 2 * len(KINDS)
+_N_CLASS, _N_TAGS = 30 + len(_SIGNS), 1 + 2 * len(TAGGED)
 
 
 def char_classes(text: str) -> np.ndarray:
+    """Class of each character; capitals are _N_CLASS more than their letters."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    return np.where(points < 128, _CLASS[np.minimum(points, 127)], 42)
+    out = np.where(points < 128, _CLASS[np.minimum(points, 127)], np.int16(_N_CLASS - 1))
+    return out + np.int16(_N_CLASS) * ((points >= 65) & (points <= 90))
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
+def _log_product(x: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """log(exp(x) @ factor), row by row."""
+    most = x.max(1, keepdims=True)
+    return most + np.log(np.exp(x - most) @ factor)
 
 
 class Tagger:
-    """Embedding, one LSTM each way, a linear layer to the tags' scores, and CRF transitions; tags are O, B and I."""
+    """Embedding, one LSTM each way, a linear layer to the tags' scores, and CRF transitions; tags are O, B and I. A capital
+    has the embedding of its letter plus one for all capitals."""
 
-    def __init__(self, hidden: int = 20, embed: int = 12, seed: int = 5):
+    def __init__(self, hidden: int = 16, embed: int = 10, seed: int = 5):
         r = np.random.default_rng(seed)
         u = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.h = hidden
-        self.p = {"E": u(_N_CLASS, embed), "O": u(2 * hidden, _N_TAGS), "o": np.zeros(_N_TAGS, np.float32), "T": np.zeros((_N_TAGS, _N_TAGS), np.float32)}
+        self.p = {"E": u(_N_CLASS, embed), "C": np.zeros(embed, np.float32), "O": u(2 * hidden, _N_TAGS), "o": np.zeros(_N_TAGS, np.float32), "T": np.zeros((_N_TAGS, _N_TAGS), np.float32)}
         for d in "fb":
             b = np.zeros(4 * hidden, np.float32)
             b[hidden : 2 * hidden] = 1
             self.p |= {f"{d}W": u(embed, 4 * hidden), f"{d}U": u(hidden, 4 * hidden), f"{d}b": b}
 
+    def embedded(self, codes: np.ndarray) -> np.ndarray:
+        high = codes >= _N_CLASS
+        return self.p["E"][np.where(high, codes - _N_CLASS, codes)] + high[..., None] * self.p["C"]
+
     def _lstm(self, x: np.ndarray, d: str, keep: bool):
         n, t, _ = x.shape
         h = c = np.zeros((n, self.h), np.float32)
@@ -181,30 +226,62 @@ class Tagger:
             dh, dc = da @ self.p[f"{d}U"].T, dc * f
         return dx
 
+    def _scan(self, codes: np.ndarray, d: str) -> np.ndarray:
+        """States (step, h, window) of one direction; codes are (step, window). The state and the input are multiplied at
+        once; the sigmoids' halves are taken into the weights, and the bias into the input."""
+        h, (t, n) = self.h, codes.shape
+        half = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), h)
+        table = np.concatenate([self.embedded(np.arange(2 * _N_CLASS)), np.ones((2 * _N_CLASS, 1), np.float32)], 1).T.copy()
+        weights = (np.concatenate([self.p[f"{d}U"], self.p[f"{d}W"], self.p[f"{d}b"][None]]) * half).T.copy()
+        out, both, cell = np.empty((t, h, n), np.float32), np.zeros((weights.shape[1], n), np.float32), np.zeros((h, n), np.float32)
+        a = np.empty((4 * h, n), np.float32)
+        for i in range(t) if d == "f" else range(t - 1, -1, -1):
+            np.take(table, codes[i], axis=1, out=both[h:], mode="clip")
+            np.matmul(weights, both, out=a)
+            np.tanh(a, out=a)
+            s = a[: 3 * h]
+            s *= 0.5
+            s += 0.5
+            cell *= s[h : 2 * h]
+            s[:h] *= a[3 * h :]
+            cell += s[:h]
+            np.tanh(cell, out=out[i])
+            out[i] *= s[2 * h :]
+            both[:h] = out[i]
+        return out
+
     def emissions(self, codes: np.ndarray) -> np.ndarray:
-        x = self.p["E"][codes]
-        both = np.concatenate([self._lstm(x, d, False)[0] for d in "fb"], 2)
-        return both @ self.p["O"] + self.p["o"]
+        """Scores (window, character, tag) of the windows' characters."""
+        steps = np.ascontiguousarray(codes.T)
+        h, last = self.h, np.ascontiguousarray(self.p["O"].T)
+        out = np.matmul(last[:, :h], self._scan(steps, "f"))
+        out += np.matmul(last[:, h:], self._scan(steps, "b"))
+        out += self.p["o"][:, None]
+        return out.transpose(2, 0, 1)
 
     def gradient(self, codes: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
         p, (n, t) = self.p, codes.shape
-        x = p["E"][codes]
+        x = self.embedded(codes)
         (hf, kf), (hb, kb) = self._lstm(x, "f", True), self._lstm(x, "b", True)
         both = np.concatenate([hf, hb], 2)
         e = (both @ p["O"] + p["o"]).astype(np.float64)
         trans = p["T"].astype(np.float64)
+        factor = np.exp(trans)
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0]
         for i in range(1, t):
-            alpha[:, i] = _log_sum(alpha[:, i - 1, :, None] + trans, 1) + e[:, i]
+            alpha[:, i] = _log_product(alpha[:, i - 1], factor) + e[:, i]
         for i in range(t - 2, -1, -1):
-            beta[:, i] = _log_sum(trans + (beta[:, i + 1] + e[:, i + 1])[:, None], 2)
-        z = _log_sum(alpha[:, -1], 1)
+            beta[:, i] = _log_product(beta[:, i + 1] + e[:, i + 1], factor.T)
+        most = alpha[:, -1].max(1)
+        z = most + np.log(np.exp(alpha[:, -1] - most[:, None]).sum(1))
         rows = np.arange(n)
         gold = e[rows[:, None], np.arange(t), tags].sum(1) + trans[tags[:, :-1], tags[:, 1:]].sum(1)
         de = np.exp(alpha + beta - z[:, None, None])
         de[rows[:, None], np.arange(t), tags] -= 1
-        pair = np.exp(alpha[:, :-1, :, None] + trans + (beta + e)[:, 1:, None] - z[:, None, None, None]).sum((0, 1))
+        shift = alpha[:, :-1].max(2, keepdims=True)
+        left, right = np.exp(alpha[:, :-1] - shift), np.exp((beta + e)[:, 1:] + shift - z[:, None, None])
+        pair = (left.reshape(-1, _N_TAGS).T @ right.reshape(-1, _N_TAGS)) * factor
         np.subtract.at(pair, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         de = (de / n).astype(np.float32)
@@ -213,10 +290,12 @@ class Tagger:
         grad["o"] += de.sum((0, 1))
         dboth = de @ p["O"].T
         dx = self._lstm_back(x, "f", kf, dboth[:, :, : self.h], grad) + self._lstm_back(x, "b", kb, dboth[:, :, self.h :], grad)
-        np.add.at(grad["E"], codes, dx)
+        high = codes >= _N_CLASS
+        np.add.at(grad["E"], np.where(high, codes - _N_CLASS, codes), dx)
+        grad["C"] += dx[high].sum(0)
         return float((z - gold).mean()), grad
 
-    def fit(self, codes: np.ndarray, tags: np.ndarray, epochs: int = 7, size: int = 64, rate: float = 0.012, seed: int = 3) -> float:
+    def fit(self, codes: np.ndarray, tags: np.ndarray, epochs: int = 6, size: int = 96, rate: float = 0.022, seed: int = 3) -> float:
         r = np.random.default_rng(seed)
         m, v, step, loss = {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0, 0.0
         total = epochs * (len(codes) // size)
@@ -234,97 +313,178 @@ class Tagger:
                     self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-6)).astype(np.float32)
         return loss
 
-    def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best tags of padded rows of scores; what is past a row's length is O."""
-        n, t, k = e.shape
-        score, back = e[:, 0].copy(), np.zeros((n, t, k), np.int8)
-        trans = self.p["T"]
+    def gain(self) -> np.ndarray:
+        """For each tag but O the most that a path can gain in transitions by that tag in O's place; a character at which O
+        leads all tags by more is O in every best path."""
+        t = self.p["T"]
+        return (t - t[:, :1]).max(0) + (t - t[:1]).max(1)
+
+    def hopeless(self, e: np.ndarray) -> bool:
+        """Whether no path through the scores e can be better than O all along: of every run of other tags the best scores
+        and transitions are worth less than O's."""
+        t = self.p["T"]
+        lead = e[:, 1:].max(1) - e[:, 0] + (inside := t[1:, 1:].max() - t[0, 0])
+        sums = np.concatenate([[0], np.cumsum(lead, dtype=np.float64)])
+        ends = max(0.0, float(t[0, 1:].max() - t[0, 0])) + max(0.0, float(t[1:, 0].max() - t[0, 0]))
+        return bool((sums[1:] - np.minimum.accumulate(sums)[:-1]).max() - inside + ends < 0)
+
+    def viterbi(self, e: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Best tags of padded rows of scores; what is past a row's length is O. first and last say whether a row begins or
+        ends its text; else an O stands before or after it."""
+        (n, t, k), trans, rows = e.shape, self.p["T"], np.arange(len(e))
+        steps = np.ascontiguousarray(e.transpose(1, 2, 0))
+        scores = np.empty((t, k, n), np.float32)
+        scores[0] = steps[0] + np.where(first, 0, trans[0][:, None])
         for i in range(1, t):
-            every = score[:, :, None] + trans
-            back[:, i] = every.argmax(1)
-            new = every.max(1) + e[:, i]
-            live = i < lengths
-            score = np.where(live[:, None], new, score)
-            back[~live, i] = np.arange(k)
+            scores[i] = (scores[i - 1][:, None] + trans[:, :, None]).max(0)
+            scores[i] += steps[i]
         out = np.zeros((n, t), np.int64)
-        tag = score.argmax(1)
-        rows = np.arange(n)
+        tag, closing = np.zeros(n, np.int64), trans[:, :1] * ~last
         for i in range(t - 1, -1, -1):
-            out[:, i] = np.where(i < lengths, tag, 0)
-            tag = back[rows, i, tag]
+            ends, goes = i == lengths - 1, i < lengths - 1
+            got = (scores[i] + np.where(ends, closing, trans[:, tag])).argmax(0)
+            tag = np.where(ends | goes, got, 0)
+            out[rows, i] = tag
         return out
 
 
-def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(texts: list[tuple[str, list[tuple[int, int, int]]]], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of one window of each labelled text, at a place drawn at random."""
     r = np.random.default_rng(seed)
-    codes, tags = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
-    for i in range(n):
-        text, spans = labelled_text(r)
+    codes, tags = np.zeros((len(texts), _TRAIN), np.int64), np.zeros((len(texts), _TRAIN), np.int64)
+    for i, (text, spans) in enumerate(texts):
         tag = np.zeros(len(text), np.int64)
         for k, a, b in spans:
             tag[a:b] = 2 + 2 * k
-            tag[a] = 1 + 2 * k
-        at = int(r.integers(0, max(1, len(text) - WINDOW // 2)))
-        c = char_classes(text)[at : at + WINDOW]
-        codes[i, : len(c)], tags[i, : len(c)] = c, tag[at : at + WINDOW]
+            tag[a : a + 1] = 1 + 2 * k
+        at = int(r.integers(0, max(1, len(text) - _TRAIN // 2)))
+        c = char_classes(text)[at : at + _TRAIN]
+        codes[i, : len(c)], tags[i, : len(c)] = c, tag[at : at + _TRAIN]
     return codes, tags
 
 
+#: Characters of a training window.
+_TRAIN = 80
+
+
+def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    r = random.Random(seed)
+    return windows_of([labelled_text(r) for _ in range(n)], seed)
+
+
 @functools.cache
-def trained(windows: int = 1536, seed: int = 21) -> Tagger:
+def trained(windows: int = 4096, seed: int = 21) -> Tagger:
     """Trained once a process on a fixed number of made-up windows."""
     t = Tagger()
     t.fit(*training_windows(windows, seed))
     return t
 
 
-def regions(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Stretches of text within REACH of a character that a span needs and no fixed pattern has taken."""
-    taken = np.zeros(len(text) + 1, np.int8)
-    for _, a, b in known:
-        taken[a:b] = 1
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        if taken[m.start()]:
-            continue
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def tag_regions(tagger: Tagger, codes: list[np.ndarray]) -> list[np.ndarray]:
-    """Tags of each region: every character takes its scores from the window in which it is farthest from the ends, and
-    the region is decoded as a whole."""
-    jobs = [(i, a) for i, c in enumerate(codes) for a in range(0, max(1, len(c) - (WINDOW - STRIDE)), STRIDE)]
-    scores = [np.zeros((len(c), _N_TAGS), np.float32) for c in codes]
-    for low in range(0, len(jobs), 512):
-        some = jobs[low : low + 512]
-        x = np.zeros((len(some), WINDOW), np.int64)
-        for j, (i, a) in enumerate(some):
-            part = codes[i][a : a + WINDOW]
-            x[j, : len(part)] = part
-        e = tagger.emissions(x)
-        for j, (i, a) in enumerate(some):
-            n = min(WINDOW, len(codes[i]) - a)
-            first = 0 if a == 0 else (WINDOW - STRIDE) // 2
-            scores[i][a + first : a + n] = e[j, first:n]
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(codes)
-    order = np.argsort([len(c) for c in codes], kind="stable")
-    for low in range(0, len(order), 128):
-        rows = order[low : low + 128]
-        lengths = np.array([len(codes[i]) for i in rows])
+def trained_on(labelled: DataFrame, most: int = MOST_LABELLED, seed: int = 21) -> Tagger:
+    """A tagger trained on labelled(text, spans: array of (kind, start, end) in code points): `most` rows at most, those of the
+    least hashes of their texts. Spans of kinds other than TAGGED's are passed over."""
+    rows = labelled.where("text is not null").orderBy(F.xxhash64("text"), "text").limit(most).select("text", "spans").collect()
+    texts = [(r.text, [(TAGGED.index(s[0]), s[1], s[2]) for s in r.spans or [] if s[0] in TAGGED]) for r in rows]
+    t = Tagger()
+    if texts:
+        codes, tags = windows_of(texts, seed)
+        t.fit(codes, tags, epochs=max(9, 24 * 128 * 9 // max(len(texts), 1) if len(texts) < 3072 else 9), size=min(128, len(texts)))
+    return t
+
+
+# ---------------------------------------------------------------- texts to spans
+
+
+class _Stretches:
+    """Undecided stretches of texts, as they come window by window: (text, start, scores, begins the text, ends it)."""
+
+    def __init__(self, tagger: Tagger):
+        self.hopeless = tagger.hopeless
+        self.ready: list[tuple[int, int, np.ndarray, bool, bool]] = []
+        self.open: list[np.ndarray] = []
+        self.text = self.start = self.size = 0
+
+    def close(self, ends: bool) -> None:
+        if self.open:
+            scores = np.concatenate(self.open)
+            if not self.hopeless(scores):
+                self.ready.append((self.text, self.start, scores, self.start == 0, ends))
+            self.open, self.size = [], 0
+
+    def add(self, text: int, start: int, scores: np.ndarray, unsure: np.ndarray, ends: bool) -> None:
+        """Scores of the characters from start on, which follow those of the call before, or begin another text."""
+        if self.open and (text != self.text or not unsure[0]):
+            self.close(False)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], unsure.view(np.int8), [0]])))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if not self.open:
+                self.text, self.start = text, start + a
+            self.open.append(scores[a:b].copy())
+            self.size += b - a
+            last = b == len(unsure)
+            while self.size > LONGEST:
+                self.cut()
+            if not last or ends:
+                self.close(last and ends)
+
+    def cut(self) -> None:
+        scores = np.concatenate(self.open)
+        lead = scores[LONGEST // 2 : LONGEST, 0] - scores[LONGEST // 2 : LONGEST, 1:].max(1)
+        at, begin = LONGEST // 2 + int(lead.argmax()), self.start
+        self.open = [scores[:at]]
+        self.close(False)
+        self.open, self.start, self.size = [scores[at + 1 :]], begin + at + 1, len(scores) - at - 1
+
+
+def tag_texts(tagger: Tagger, texts: list[str]):
+    """(text, start, tags) of the stretches of all texts that aren't certainly O, in no fixed order."""
+    gain, edge = tagger.gain(), (WINDOW - STRIDE) // 2
+    held, codes = _Stretches(tagger), np.zeros((BATCH, WINDOW), np.int16)
+    jobs: list[tuple[int, int, int, int]] = []
+
+    def score():
+        e = tagger.emissions(codes[: len(jobs)])
+        unsure = ((e[:, :, :1] - e[:, :, 1:]) <= gain[1:]).any(2)
+        for j, (i, at, a, b) in enumerate(jobs):
+            if held.open or unsure[j, a:b].any():
+                held.add(i, at + a, e[j, a:b], unsure[j, a:b], at + b == sizes[i])
+        jobs.clear()
+
+    sizes = [len(t) for t in texts]
+    for i, t in enumerate(texts):
+        own = char_classes(t)
+        for at in range(0, max(len(own) - (WINDOW - STRIDE), 1) if len(own) else 0, STRIDE):
+            part = own[at : at + WINDOW]
+            codes[len(jobs), : len(part)], codes[len(jobs), len(part) :] = part, 0
+            jobs.append((i, at, edge if at else 0, len(part) if at + WINDOW >= len(own) else WINDOW - edge))
+            if len(jobs) == BATCH:
+                score()
+                if len(held.ready) > 2000:
+                    yield from _decoded(tagger, held)
+    if jobs:
+        score()
+    held.close(False)
+    yield from _decoded(tagger, held)
+
+
+def _decoded(tagger: Tagger, held: _Stretches):
+    some, held.ready = sorted(held.ready, key=lambda s: len(s[2])), []
+    at = 0
+    while at < len(some):
+        rows = some[at : at + max(1, min(512, 200_000 // len(some[min(at + 511, len(some) - 1)][2])))]
+        at += len(rows)
+        lengths = np.array([len(r[2]) for r in rows])
         e = np.zeros((len(rows), int(lengths.max()), _N_TAGS), np.float32)
-        for j, i in enumerate(rows):
-            e[j, : lengths[j]] = scores[i]
-        for j, tags in enumerate(tagger.viterbi(e, lengths)):
-            out[rows[j]] = tags[: lengths[j]]
-    return out
+        for j, r in enumerate(rows):
+            e[j, : lengths[j]] = r[2]
+        for r, tags in zip(rows, tagger.viterbi(e, lengths, np.array([r[3] for r in rows]), np.array([r[4] for r in rows]))):
+            yield r[0], r[1], tags[: len(r[2])]
 
 
 def spans_of(tags: np.ndarray, start: int) -> list[tuple[int, int, int]]:
+    """(kind, start, end): a B and the I of its kind that follow."""
+    if not tags.any():
+        return []
     out, at = [], None
     for i, t in enumerate([*tags.tolist(), 0]):
         if at is not None and (t == 0 or t % 2 == 1 or t != at[1] + 1):
@@ -335,63 +495,65 @@ def spans_of(tags: np.ndarray, start: int) -> list[tuple[int, int, int]]:
     return out
 
 
-_EMAIL_WORDS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")
-_PHONE_FORM = re.compile(r"\(?[0-9]{2,5}\)?(?:[ .-]\(?[0-9]{2,8}\)?){1,5}")
-
-
-def plausible(kind: int, text: str) -> bool:
-    """Whether a span of the tagger can be of its kind; it may find other forms than the fixed patterns', not other things."""
-    d = _digits(text)
-    if kind == 0:
-        return bool(_EMAIL_WORDS.fullmatch(text))
-    if kind == 1:
-        return bool(_IP.fullmatch(text)) and all(len(x) <= 3 and int(x) <= 255 for x in text.split("."))
-    if kind == 2:
-        return bool(_CARD.fullmatch(text)) and 13 <= len(d) <= 19 and luhn(d)
-    return bool(_PHONE_FORM.fullmatch(text)) and 9 <= len(d) <= 15 and not re.fullmatch(r"(?:19|20)[0-9]{2}[-. ][0-9]{2}[-. ][0-9]{2}.*", text)
-
-
 def find_all(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
-    """For each text the spans of the fixed patterns and all spans, by kind and start."""
-    known = [base_spans(t) if _TRIGGER.search(t) else [] for t in texts]
+    """For each text the spans of the fixed patterns and all spans, by kind and start. A span of the tagger is left out if
+    it overlaps one of a pattern, since that stays; outer white space and closing punctuation aren't part of it."""
+    known = [sorted(base_spans(t)) if _TRIGGER.search(t) else [] for t in texts]
+    taken = [_union([(a, b) for _, a, b in k]) for k in known]
     every = [list(k) for k in known]
-    where = [(i, a, b) for i, t in enumerate(texts) if _TRIGGER.search(t) for a, b in regions(t, known[i])]
-    for low in range(0, len(where), 20_000):
-        some = where[low : low + 20_000]
-        for (i, a, _), tags in zip(some, tag_regions(tagger, [char_classes(texts[i][a:b]) for i, a, b in some])):
-            if tags.any():
-                for k, s, e in spans_of(tags, a):
-                    s += len(texts[i][s:e]) - len(texts[i][s:e].lstrip())
-                    e -= len(texts[i][s:e]) - len(texts[i][s:e].rstrip(" .,;\n"))
-                    if s < e and plausible(k, texts[i][s:e]) and not any(s < f and c < e for _, c, f in every[i]):
-                        every[i].append((k, s, e))
-    return [(sorted(k), sorted(e)) for k, e in zip(known, every)]
+    for i, start, tags in tag_texts(tagger, texts):
+        for k, s, e in spans_of(tags, start):
+            own = texts[i][s:e]
+            s += len(own) - len(own.lstrip())
+            e -= len(own) - len(own.rstrip(" .,;\n\t\r"))
+            before = bisect.bisect_left(taken[i], (e,)) - 1
+            if k == 2 and not luhn(_digits(texts[i][s:e])):  # no card's number
+                continue
+            if s < e and not (before >= 0 and taken[i][before][1] > s):
+                every[i].append((k, s, e))
+    return [(k, sorted(e)) for k, e in zip(known, every)]
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("spans", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("n_added", pa.int64()), ("base", pa.string()), ("spans", pa.string())])
+_OUT_T = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_added long, base string, spans string"
 
 
 def _find(shared):
     def run(batches):
         tagger = shared.value
-        written = lambda s: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in s)
+        written = lambda s: ",".join(f"{TAGGED[k]}:{a}:{b}" for k, a, b in s)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 found = find_all(tagger, [t or "" for t in part.column(1).to_pylist()])
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([written(x) for x, _ in found]), pa.array([written(x) for _, x in found])], schema=_OUT)
+                added = pa.array([len(every) - len(base) for base, every in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, added, pa.array([written(x) for x, _ in found]), pa.array([written(x) for _, x in found])], schema=_OUT)
 
     return run
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, labelled: DataFrame | None = None, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """Per row of docs (doc_id, text; other columns are ignored): doc_id, n_email, n_ip, n_card, n_phone (of the fixed
-    patterns), base (their spans) and spans (those and the tagger's), written kind:start:end by kind and start, joined by
-    commas; places are code points, ends exclusive.
-
-    A null text is empty, and has no spans. A span of the tagger is kept if its text is plausible for its kind and it
-    doesn't overlap a span found before. Rows are judged one by one; an empty table gives an empty result."""
-    shared = docs.sparkSession.sparkContext.broadcast(trained())
+    patterns), n_added (spans of the tagger), base (the patterns' spans) and spans (those and the tagger's), written
+    kind:start:end by kind and start, joined by commas; places are code points, ends exclusive.
+
+    With labelled(text, spans) the tagger is trained on most_labelled of its rows at most (see trained_on), else on a fixed
+    number of made-up texts. It reads all texts whole. A null text is empty and has no spans. Of a text only the undecided
+    stretches are held, and those of over LONGEST characters are cut, so that very long texts take memory for their
+    characters and their spans, and time in proportion. A span of the tagger that overlaps one of a pattern is left out. Rows are
+    judged one by one, repeated ones and null doc_ids too; an empty table gives an empty result."""
+    tagger = trained() if labelled is None else trained_on(labelled, most_labelled)
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_find(shared), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
+    return own.mapInArrow(_find(shared), _OUT_T)

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 #: (host, path) and what becomes of URLs on the host or a subdomain whose path starts so; the longest rule wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "longest_label", "upper_ratio", "escapes", "suffix_rate", "word_rate", "address")
+FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "longest_label", "upper_ratio", "escapes", "suffix_rate", "address")
 
-#: Fixed word lists of the generator of labelled URLs.
-_GOOD = "news blog docs wiki shop library school museum garden city music travel science health history weather sport book art food home team press forum photo code data open field river stone light north green".split()
-_BAD = "cheap pills casino spam farm win bonus loan free prize viagra poker betting replica discount click adult dating hot deal crypto cash quick rich seo links".split()
+#: Rows of a table of labelled URLs that are used for training, at most.
+MOST_LABELLED = 20_000
+
+#: Suffixes of made-up URLs and their shares, of wanted and of unwanted ones.
 _SUFFIX = {0: ("com org net edu de fr es io".split(), (30, 20, 12, 8, 8, 7, 7, 8)), 1: ("com net org info xyz top biz click".split(), (26, 14, 10, 12, 12, 10, 8, 8))}
 
 
@@ -43,64 +44,57 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def labelled_urls(n: int = 4000, seed: int = 11) -> tuple[list[str], np.ndarray]:
-    """Made-up URLs with labels, 1 for unwanted ones: the training data, of a fixed number of rows."""
+    """Made-up URLs with labels, 1 for unwanted ones; all their names are random syllables, so that only their form can be
+    learned: unwanted hosts are longer, with more hyphens, digits and odd suffixes, unwanted queries have more parameters."""
     r = np.random.default_rng(seed)
     pick = lambda x: x[r.integers(len(x))]
-    syllables = "th er on an in re nd he ou ti ea en st it is or te de la mi ro sa vi ne".split()
-    name = lambda: "".join(pick(syllables) for _ in range(r.integers(2, 5)))
+    name = lambda: "".join(pick("bcdfghjklmnprstvwz") + pick("aeiou") + (pick("lmnrst") if r.random() < 0.4 else "") for _ in range(r.integers(1, 4)))
     urls, labels = [], []
     for i in range(n):
         bad = int(i % 3 == 0)
         if bad:
-            parts = [pick(_BAD) if r.random() < 0.8 else name() for _ in range(r.integers(2, 4))]
+            parts = [name() for _ in range(r.integers(2, 4))]
             if r.random() < 0.3:
                 parts[-1] += str(r.integers(10, 9999))
             domain = ("-" if r.random() < 0.75 else "").join(parts)
         else:
-            domain = name() if r.random() < 0.6 else pick(_GOOD) + (name() if r.random() < 0.5 else "")
+            domain = name() + (name() if r.random() < 0.4 else "")
+            if r.random() < 0.06:
+                domain += "-" + name()
         host = [] if r.random() < 0.4 else [pick(["www", "m", "blog"] if r.random() < 0.8 or not bad else [name()])]
         host += [domain] + (["example"] if r.random() < 0.4 else []) + [str(r.choice(_SUFFIX[bad][0], p=np.array(_SUFFIX[bad][1]) / sum(_SUFFIX[bad][1])))]
         if bad and r.random() < 0.04:
             host = [str(x) for x in r.integers(1, 255, 4)]
         path = "/" + pick("en fr de es".split()) if r.random() < 0.5 else ""
         for _ in range(r.integers(0, 4)):
-            path += "/" + (str(r.integers(1, 99999)) if r.random() < 0.5 else pick(_BAD) if bad and r.random() < 0.5 else pick(_GOOD) if r.random() < 0.4 else name())
+            path += "/" + (str(r.integers(1, 99999)) if r.random() < 0.5 else name() + ("-" + name() if r.random() < (0.5 if bad else 0.2) else ""))
         path += pick(["", "/", ".html"])
         query = ""
         if r.random() < (0.5 if bad else 0.3):
-            keys = ["aff", "click", "promo", "sid", "ref", "x"] if bad and r.random() < 0.6 else ["page", "ref", "utm_source", "id", "lang"]
-            query = "?" + "&".join(f"{pick(keys)}={r.integers(1, 10 ** r.integers(1, 8)) if r.random() < 0.6 else name()}" for _ in range(r.integers(1, 6 if bad else 3)))
-        urls.append(f"{pick(['http', 'https'])}://{'.'.join(host)}{path}{query}{'#top' if r.random() < 0.15 else ''}")
+            query = "?" + "&".join(f"{name()}={r.integers(1, 10 ** r.integers(1, 8)) if r.random() < 0.6 else name()}" for _ in range(r.integers(1, 6 if bad else 3)))
+        urls.append(f"{pick(['http', 'https'])}://{'.'.join(host)}{path}{query}{'#' + name() if r.random() < 0.15 else ''}")
         labels.append(bad)
     return urls, np.array(labels)
 
 
 class Rates:
-    """Smoothed share of unwanted training URLs by host suffix and by word of the host and path."""
+    """Smoothed share of unwanted training URLs by host suffix."""
 
     def __init__(self, urls: list[str], labels: np.ndarray, weight: float = 8.0):
-        self.mean = float(labels.mean())
-        self.tables: list[dict[str, float]] = []
-        for keys in (lambda u: [self.suffix(u)], self.words):
-            seen: dict[str, list[float]] = {}
-            for u, y in zip(urls, labels):
-                for k in set(keys(u)):
-                    s = seen.setdefault(k, [0.0, 0.0])
-                    s[0] += y
-                    s[1] += 1
-            self.tables.append({k: (a + weight * self.mean) / (b + weight) for k, (a, b) in seen.items() if b >= 3})
+        self.mean = float(labels.mean()) if len(labels) else 0.0
+        seen: dict[str, list[float]] = {}
+        for u, y in zip(urls, labels):
+            s = seen.setdefault(self.suffix(u), [0.0, 0.0])
+            s[0] += y
+            s[1] += 1
+        self.table = {k: (a + weight * self.mean) / (b + weight) for k, (a, b) in seen.items() if b >= 3}
 
     @staticmethod
     def suffix(url: str) -> str:
         return re.match(r"[^/?#]*", url.partition("://")[2])[0].rpartition(".")[2].lower()
 
-    @staticmethod
-    def words(url: str) -> list[str]:
-        return re.findall(r"[a-z]{3,}", re.match(r"[^?#]*", url.partition("://")[2])[0].lower())
-
-    def of(self, url: str) -> tuple[float, float]:
-        found = [self.tables[1][w] for w in self.words(url) if w in self.tables[1]]
-        return self.tables[0].get(self.suffix(url), self.mean), max(found, default=self.mean)
+    def of(self, url: str) -> float:
+        return self.table.get(self.suffix(url), self.mean)
 
 
 def features(urls: list[str], rates: Rates) -> np.ndarray:
@@ -113,7 +107,7 @@ def features(urls: list[str], rates: Rates) -> np.ndarray:
         n = max(len(rest), 1)
         _, counts = np.unique(np.frombuffer(rest.encode("utf-32-le", "replace"), "<u4"), return_counts=True) if rest else (0, np.ones(1))
         p = counts / counts.sum()
-        out[i] = (len(rest), len(host), path.strip("/").count("/") + bool(path.strip("/")), sum(map(str.isdigit, rest)) / n, -(p * np.log2(p)).sum(), query.count("=") + query.count("&") if query else 0, len(labels), host.count("-"), max(map(len, labels)), sum(map(str.isupper, rest)) / n, rest.count("%"), *rates.of(u), bool(re.fullmatch(r"[\d.]+", host)))
+        out[i] = (len(rest), len(host), path.strip("/").count("/") + bool(path.strip("/")), sum(map(str.isdigit, rest)) / n, -(p * np.log2(p)).sum(), query.count("=") + query.count("&") if query else 0, len(labels), host.count("-"), max(map(len, labels)), sum(map(str.isupper, rest)) / n, rest.count("%"), rates.of(u), bool(re.fullmatch(r"[\d.]+", host)))
     return out
 
 
@@ -121,12 +115,12 @@ class Trees:
     """Boosted regression trees of fixed depth for the logistic loss, split at quantiles of the training values."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32):
-        self.depth, self.cuts = depth, [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+        self.depth, self.cuts = depth, [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         code = self._code(x)
-        base = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        base = np.clip(y.mean() if len(y) else 0, 1e-3, 1 - 1e-3)
         self.base, self.trees = float(np.log(base / (1 - base))), []
         score = np.full(len(y), self.base)
-        for _ in range(rounds):
+        for _ in range(rounds if len(y) else 0):
             p = 1 / (1 + np.exp(-score))
             g, h = y - p, p * (1 - p)
             node, splits = np.zeros(len(y), int), []
@@ -163,12 +157,23 @@ class Trees:
         return 1 / (1 + np.exp(-score))
 
 
+def fitted(urls: list[str], y: np.ndarray) -> tuple[Rates, Trees]:
+    """The suffixes' rates come from other rows than the trees', or the trees would trust the rates too much."""
+    rates = Rates(urls[::2], y[::2])
+    return rates, Trees(features(urls[1::2], rates), y[1::2].astype(float))
+
+
 @functools.cache
 def model(n: int = 4000, seed: int = 11) -> tuple[Rates, Trees]:
     """Trained once a process, on a fixed number of made-up labelled URLs; its size doesn't follow the data."""
-    urls, y = labelled_urls(n, seed)
-    rates = Rates(urls[::2], y[::2])  # other rows than the trees', or the trees would trust the rates too much
-    return rates, Trees(features(urls[1::2], rates), y[1::2])
+    return fitted(*labelled_urls(n, seed))
+
+
+def model_of(labelled: DataFrame, most: int = MOST_LABELLED) -> tuple[Rates, Trees]:
+    """Trained on labelled(url, label: 1 or true for unwanted ones): `most` rows at most, those of the least hashes of their
+    URLs. Rows without a url or label don't count; of fewer than two rows nothing is learned, and all URLs are allowed."""
+    rows = labelled.select("url", F.col("label").cast("int").alias("label")).where("url is not null and label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(most).collect()
+    return fitted([r.url for r in rows], np.array([int(r.label > 0) for r in rows]))
 
 
 def _judge(shared):
@@ -185,13 +190,15 @@ def _judge(shared):
     return run
 
 
-def judged_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
+def judged_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, labelled: DataFrame | None = None, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """Per row of pages (page_id, url; other columns are ignored): page_id, host, path, rule, score, verdict.
 
-    verdict is the rule's, or by the trees' score block from the threshold on; score is null where a rule fits. A null url,
+    verdict is the rule's, or by the trees' score block from the threshold on; score is null where a rule fits. The trees are
+    trained on labelled(url, label), most_labelled of its rows at most, or else on made-up URLs. A null url,
     or one without ://, has an empty host and path, no rule, and is judged by the score of an empty text. Rows are judged
     one by one; an empty table gives an empty result."""
-    shared = pages.sparkSession.sparkContext.broadcast(model())
+    trained = model() if labelled is None else model_of(labelled, most_labelled)
+    shared = pages.sparkSession.sparkContext.broadcast(trained)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     own = own.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     own = own.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))

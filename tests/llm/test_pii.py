@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from citespark.llm.pii import KINDS, WINDOW, Tagger, _digits, base_spans, find_all, labelled_text, luhn, personal_data, tag_regions, trained, training_windows
+from citespark.llm.pii import KINDS, TAGGED, WINDOW, Tagger, _digits, base_spans, char_classes, find_all, labelled_text, luhn, personal_data, spans_of, tag_texts, trained, trained_on, training_windows
 from citespark.llm.queries import QUERIES
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -48,15 +48,22 @@ def test_query(spark, data, documents):
 
 
 def test_held_out_accuracy():
-    m, r = trained(), np.random.default_rng(123)
+    m, r = trained(), random.Random(123)
     hits = found = real = 0
     for _ in range(300):
         text, spans = labelled_text(r)
         ((_, every),) = find_all(m, [text])
         hits, found, real = hits + len(set(every) & set(spans)), found + len(every), real + len(spans)
-    assert hits / found > 0.9 and hits / real > 0.7
-    ((_, every),) = find_all(m, ["call (555) 123-4567 now, or pay 12.50 for 3 of 2019-2021"])
-    assert every == [(3, 5, 19)]
+    assert hits / found > 0.85 and hits / real > 0.75
+    text = "call (555) 123-4567 now, or pay 12.50 for 3 of 2019-2021"
+    ((_, every),) = find_all(m, [text])
+    assert [(k, text[a:b]) for k, a, b in every] == [(3, "(555) 123-4567")]
+
+
+def test_clean_prose_has_no_spans():
+    text = "The garden was open from May to June 2019, and 1,250 people came at noon. Chapter 12, p. 34-35, costs $9.50 (about 8 euros).\n" * 40
+    ((base, every),) = find_all(trained(), [text])
+    assert not base and len(every) <= 2
 
 
 def test_gradient():
@@ -74,27 +81,89 @@ def test_gradient():
         assert abs((losses[0] - losses[1]) / (2 * eps) - grad[name][at]) < 0.05 * abs(grad[name][at]) + 0.02
 
 
+def best_path(t, e):
+    """Plain Viterbi over a whole text."""
+    score, back = e[0].astype(float), []
+    for x in e[1:]:
+        every = score[:, None] + t.p["T"]
+        back.append(every.argmax(0))
+        score = every.max(0) + x
+    tags = [int(score.argmax())]
+    for b in reversed(back):
+        tags.append(int(b[tags[-1]]))
+    return tags[::-1]
+
+
 def test_viterbi_against_all_paths():
     t = Tagger(4, 3)
-    r = np.random.default_rng(2)
+    r, k = np.random.default_rng(2), 1 + 2 * len(TAGGED)
     t.p["T"] = r.standard_normal(t.p["T"].shape).astype(np.float32)
-    e = r.standard_normal((1, 4, 9)).astype(np.float32)
+    e = r.standard_normal((1, 4, k)).astype(np.float32)
     import itertools
 
-    best = max(itertools.product(range(9), repeat=4), key=lambda p: sum(e[0, i, x] for i, x in enumerate(p)) + sum(t.p["T"][a, b] for a, b in zip(p, p[1:])))
-    assert t.viterbi(e, np.array([4]))[0].tolist() == list(best)
+    best = max(itertools.product(range(k), repeat=4), key=lambda p: sum(e[0, i, x] for i, x in enumerate(p)) + sum(t.p["T"][a, b] for a, b in zip(p, p[1:])))
+    whole = np.ones(1, bool)
+    assert t.viterbi(e, np.array([4]), whole, whole)[0].tolist() == list(best) == best_path(t, e[0])
+    inner = t.viterbi(e, np.array([4]), ~whole, ~whole)[0].tolist()
+    zero = np.zeros((1, k), np.float32) - 1e6
+    zero[0, 0] = 0
+    assert inner == best_path(t, np.concatenate([zero, e[0], zero]))[1:-1]
+
+
+def test_stretches_give_the_best_path_of_the_text():
+    """What is decoded in stretches is what one pass over the whole text gives."""
+    m, r = trained(), random.Random(5)
+    texts = [labelled_text(r)[0] for _ in range(60)]
+    got: dict = {}
+    for i, start, tags in tag_texts(m, texts):
+        got.setdefault(i, []).extend(spans_of(tags, start))
+    for i, text in enumerate(texts):
+        if len(text) > WINDOW:
+            continue
+        codes = np.zeros((1, WINDOW), np.int16)
+        codes[0, : len(text)] = char_classes(text)
+        assert sorted(got.get(i, [])) == sorted(spans_of(np.array(best_path(m, m.emissions(codes)[0, : len(text)])), 0))
+
+
+def test_windows_are_joined():
+    m = trained()
+    text = "pay 12 or 345 then 99 " * 30 + "write to jo.do7 [at] mail [dot] org today 5 times " + "and 7 more 88 " * 30
+    ((_, every),) = find_all(m, [text])
+    a = text.index("jo.do7")
+    assert len(text) > 4 * WINDOW and any(k == 0 and s < a + 10 and e > a + 20 for k, s, e in every)
 
 
-def test_long_regions_are_joined():
+def test_very_long_table_of_numbers():
+    """Memory is that of the characters and spans, whatever the text holds."""
+    import tracemalloc
+
+    r = random.Random(1)
+    text = "\n".join(" ".join(str(r.randrange(10**6)) for _ in range(12)) for _ in range(20_000))
     m = trained()
-    text = "pay 12 or 345 then 99 " * 20 + "write to jo.do7@mail.example.org today 5 times " + "and 7 more 88 " * 20
-    (tags,) = tag_regions(m, [__import__("citespark.llm.pii", fromlist=["x"]).char_classes(text)])
-    assert len(tags) == len(text) > 4 * WINDOW
-    a = text.index("jo.do7")
-    assert (tags[a : a + 24] > 0).mean() > 0.9
+    tracemalloc.start()
+    find_all(m, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 1_500_000 and peak < 300e6
+
+
+def test_trained_on_given_labels(spark):
+    """Another form of phone, learned from the caller's labels."""
+    r = random.Random(2)
+    rows = []
+    for _ in range(400):
+        a = " ".join(r.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(r.randrange(1, 6)))
+        p = f"T{r.randrange(10**5):05d}/{r.randrange(10**3):03d}"
+        rows.append((f"{a} {p} {a}", [("phone", len(a) + 1, len(a) + 1 + len(p)), ("other", 0, 1)]))
+    rows.append((None, None))
+    labelled = spark.createDataFrame(rows, "text string, spans array<struct<kind:string,start:int,end:int>>")
+    m = trained_on(labelled)
+    ((_, every),) = find_all(m, ["sit dolor T12345/678 ipsum"])
+    assert every == [(3, 10, 20)]
+    assert find_all(trained_on(labelled.limit(0)), ["x"])[0][0] == []
 
 
 def test_awkward_rows(awkward, no_docs):
     got = personal_data(awkward).collect()
-    assert len(got) == awkward.count() and all(r.spans == "" for r in got if r.doc_id in (2, 3, 4, 6, 7, 8))
+    assert len(got) == awkward.count() and all(r.spans == "" for r in got if r.doc_id in (2, 3, 4, 7, 8))
     assert personal_data(no_docs).count() == 0
