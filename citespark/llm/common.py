@@ -38,6 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a full address of the file system that Spark takes it to be on, for readers other than Spark's."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return full.replace("s3a://", "s3://", 1) if full.startswith("s3a://") else full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
+
+
 @functools.cache
 def _clean_at_exit(context, path: str) -> None:
     def clean():

@@ -1,8 +1,11 @@
 """Quality rules: counts of words, symbols and repeats, and perplexity bands of an n-gram model of the corpus.
 
-The model is a modified Kneser-Ney model of order 4 over 64 character classes, one for each language. Spark counts the
-4-grams of all documents; lower orders follow from the distinct 4-grams. It is kept as sorted arrays of packed keys (six
-bits a class, which is the keys' perfect hash) with their log probabilities and back-off weights.
+The model is a modified Kneser-Ney model of order 5 over 4096 character classes (ASCII as it is but for case, all other
+characters by hash), one for each language. A 5-gram counts the texts that it is in; one of a single text counts as unseen,
+so that no text is made likely by itself. Counting, lower orders, discounts, back-off weights and probabilities are
+aggregates and joins of Spark over the distinct n-grams. The model is kept as sorted arrays of packed keys (twelve bits a
+class, which is the keys' perfect hash) with their log probabilities and back-off weights. There are 4096 ** 5 keys, so it
+grows with the corpus.
 """
 
 from __future__ import annotations
@@ -14,142 +17,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citespark.llm.common import WHITE, materialize, mix, rows_of, runs, shingles, word_hashes, words
+from citespark.llm.common import WHITE, materialize, mix, qualified, runs, shingles, whole_rows, word_hashes, words
 
-ORDER, BITS = 4, 6
-#: Models of up to so many bytes in all are broadcast; else workers read their languages' models from the shared folder.
-BROADCAST_BYTES = 64 << 20
+ORDER, BITS = 5, 12
+#: Models of up to so many rows (16 bytes each) in all are broadcast; else workers read their languages' from the shared folder.
+BROADCAST_ROWS = 4_000_000
 #: Bands of up to so many languages (three numbers each) are broadcast, so that a common language isn't one task's.
 BROADCAST_LANGUAGES = 100_000
+#: Each block of so many characters has the best score of its text's language and of the commonest languages.
+BLOCK, LANGUAGES = 256, 8
 #: A document is kept between median - LOWER * spread and median + UPPER * spread of its language, in nats a character;
-#: the spread is the larger distance of a quartile from the median, or LEAST_SPREAD.
-LOWER, UPPER, LEAST_SPREAD = 10.0, 8.0, 0.02
-#: A text that scores more than FOREIGN above its language's mean is also scored in blocks of BLOCK characters, each by
-#: the language that suits it best, since texts of two languages are no bad ones.
-FOREIGN, BLOCK = 0.06, 256
+#: the spread is the larger distance of a quartile from the median, or LEAST_SPREAD. UPPER was chosen on the labelled
+#: documents of even doc_id; those of odd doc_id give the figures of the README.
+LOWER, UPPER, LEAST_SPREAD = 10.0, 5.0, 0.02
 MIN_WORDS = 50
 
-#: Class of an ASCII character: letters 1 to 26, digits, white space, line break, one each for common signs, 50 for the rest.
-_REST = 50
-_ASCII = np.full(128, _REST, np.uint8)
+#: Class of an ASCII character: letters 1 to 26, digits, white space, line break, the other signs from 30 on.
+_FAR = 128
+_ASCII = np.full(128, 30, np.uint16)
 for _c in range(26):
     _ASCII[97 + _c] = _ASCII[65 + _c] = 1 + _c
 _ASCII[48:58] = 27
 _ASCII[[9, 11, 12, 13, 32]] = 28
 _ASCII[10] = 29
-for _i, _c in enumerate(".,;:!?'\"()-/|#*$%&<>"):
-    _ASCII[ord(_c)] = 30 + _i
+for _i, _c in enumerate(".,;:!?'\"()-/|#*$%&<>@=+_[]{}~^`\\"):
+    _ASCII[ord(_c)] = 31 + _i
+_LOUD = 127
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
 def classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes, 0 < class < 64, of the characters of all texts, and where each text begins. Characters beyond ASCII are
-    hashed to the classes from 51 on. A sign that repeats the one before counts once, so that a row of them isn't taken
+    """Classes, 0 < class < 4096, of the characters of all texts, and where each text begins. Characters beyond ASCII are
+    hashed to the classes from 128 on. A sign that repeats the one before counts once, so that a row of them isn't taken
     for something predictable; capitals after capitals are one class."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     far = points >= 128
     out = _ASCII[np.where(far, 0, points)]
-    out[far] = _REST + 1 + mix(points[far].astype(np.uint64)) % np.uint64(63 - _REST)
+    out[far] = _FAR + mix(points[far].astype(np.uint64)) % np.uint64((1 << BITS) - _FAR)
     if not len(out):
         return out, bounds
     high = (points >= 65) & (points <= 90)
-    out[1:][high[1:] & high[:-1]] = _REST
+    out[1:][high[1:] & high[:-1]] = _LOUD
     keep = np.ones(len(out), bool)
-    keep[1:] = (points[1:] != points[:-1]) | (out[1:] < 30) | (out[1:] >= _REST)
+    keep[1:] = (points[1:] != points[:-1]) | (out[1:] < 30) | (out[1:] >= _LOUD)
     keep[bounds[:-1][np.diff(bounds) > 0]] = True
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
 
 
 def grams(cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The packed 4-gram that ends at each character; class 0 stands before a text."""
-    c = cls.astype(np.uint32)
+    """The packed 5-gram that ends at each character; class 0 stands before a text."""
+    c = cls.astype(np.int64)
     place = np.arange(len(c)) - np.repeat(bounds[:-1], np.diff(bounds))
     out = c.copy()
     for k in range(1, ORDER):
         prev = np.zeros_like(c)
         prev[k:] = c[:-k]
-        out |= np.where(place >= k, prev, 0).astype(np.uint32) << np.uint32(BITS * k)
+        out |= np.where(place >= k, prev, 0) << (BITS * k)
     return out
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """D for counts 0, 1, 2, 3 and more, of the counts of counts."""
-    n = [float((counts == k).sum()) for k in range(1, 5)]
-    if not n[0] or not n[1]:
-        return np.array([0, 0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k / 2 for k in (1, 2, 3)]
-    return np.array([0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d))])
-
-
-def estimate(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The model for sorted distinct 4-gram keys and their counts: per order n sorted keys kn with log probabilities pn,
-    and sorted contexts cn with log back-off weights bn; p1 of all 64 classes."""
-    tables = [(keys.astype(np.int64), counts.astype(np.float64))]
-    for n in range(ORDER - 1, 0, -1):
-        k, c = np.unique(tables[-1][0] & ((1 << BITS * n) - 1), return_counts=True)
-        tables.append((k, c.astype(np.float64)))
-    out, lower = {}, None
-    for n, (k, c) in zip(range(1, ORDER + 1), reversed(tables)):
-        d = discounts(c)
-        context, at = np.unique(k >> BITS, return_inverse=True)
-        total = np.bincount(at, c)
-        cut = d[np.minimum(c, 3).astype(int)]
-        back = np.bincount(at, cut) / total
-        if n == 1:
-            p = np.full(64, back[0] / 64)
-            p[k] += (c - cut) / total[at]
-            out["p1"] = np.log(p).astype(np.float32)
-            lower = (np.arange(64), p)
-        else:
-            low = lower[1][np.searchsorted(lower[0], k & ((1 << BITS * (n - 1)) - 1))]
-            p = (c - cut) / total[at] + back[at] * low
-            out |= {f"k{n}": k.astype(np.uint32), f"p{n}": np.log(p).astype(np.float32), f"c{n}": context.astype(np.uint32), f"b{n}": np.log(back).astype(np.float32)}
-            lower = (k, p)
-            if n == ORDER:
-                out["mean"] = np.array([-(c * np.log(p)).sum() / c.sum()], np.float32)
-    return out
-
-
-def log_probabilities(model: dict[str, np.ndarray], keys: np.ndarray, n: int = ORDER) -> np.ndarray:
-    """Natural log probability of the last class of each packed n-gram."""
-    if n == 1:
-        return model["p1"][keys]
-    k = model[f"k{n}"]
-    if n == ORDER and "bits" in model:
-        context, last = keys >> np.uint32(BITS), (keys & np.uint32(63)).astype(np.uint64)
-        bits = model["bits"][context]
-        below = bits & ((np.uint64(1) << last) - np.uint64(1))
-        at = np.minimum(model["begin"][context] + np.bitwise_count(below), len(k) - 1)
-        missing = (bits >> last) & np.uint64(1) == 0
-    else:
-        at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-        missing = k[at] != keys
-    out = model[f"p{n}"][at]
-    if len(miss := np.flatnonzero(missing)):
-        gone = keys[miss]
-        c = model[f"c{n}"]
-        context = gone >> np.uint32(BITS)
-        at = np.minimum(np.searchsorted(c, context), len(c) - 1)
-        back = np.where(c[at] == context, model[f"b{n}"][at], np.float32(0))
-        out[miss] = back + log_probabilities(model, gone & np.uint32((1 << BITS * (n - 1)) - 1), n - 1)
-    return out
-
-
-def indexed(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Adds where the sorted 4-grams of each context begin, and a bit for each class that follows it there."""
-    k = model[f"k{ORDER}"]
-    bits = np.zeros(1 << BITS * (ORDER - 1), np.uint64)
-    np.bitwise_or.at(bits, k >> np.uint32(BITS), np.uint64(1) << (k & np.uint32(63)).astype(np.uint64))
-    begin = np.searchsorted(k, np.arange(len(bits), dtype=np.uint32) << np.uint32(BITS)).astype(np.int32)
-    return model | {"bits": bits, "begin": begin}
-
-
-_PARTS = ["p1", "mean", *(f"{x}{n}" for n in range(2, ORDER + 1) for x in "kpcb")]
-
-
 def _groups(batches):
     """Slices of about 2 MB: languages, texts."""
     for b in batches:
@@ -162,68 +90,117 @@ def _groups(batches):
                 at, held = i + 1, 0
 
 
-_COUNT = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+_COUNT = pa.schema([("lang", pa.string()), ("g", pa.int64()), ("n", pa.int64())])
 
 
 def _count(batches):
     for _, langs, texts in _groups(batches):
         for lang in set(langs):
-            k, n = np.unique(grams(*classes([t for x, t in zip(langs, texts) if x == lang])), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], schema=_COUNT)
+            cls, bounds = classes([t for x, t in zip(langs, texts) if x == lang])
+            keys = grams(cls, bounds)
+            own = [np.unique(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            k, n = np.unique(np.concatenate(own), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n.astype(np.int64))], schema=_COUNT)
+
+
+def _discounted(table: DataFrame, top: bool) -> DataFrame:
+    """table(lang, g, n) with d, the discount of n by its language's counts of counts. At the top a count of one is
+    discounted whole, so that such n-grams can go and all probabilities still add up to one."""
+    n = F.col("n")
+    of = table.groupBy("lang").agg(*(F.sum((n == k).cast("double")).alias(f"n{k}") for k in range(1, 5)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    known = (F.col("n1") > 0) & (F.col("n2") > 0)
+    raw = {k: F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(k / 2) for k in (1, 2, 3)}
+    cut = {k: F.when(known, F.least(F.greatest(raw[k], F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit((0.5, 0.75, 0.9)[k - 1])) for k in (1, 2, 3)}
+    of = of.select("lang", F.lit(1.0).alias("d1") if top else cut[1].alias("d1"), cut[2].alias("d2"), cut[3].alias("d3"))
+    joined = table.join(of, "lang")
+    return joined.select("lang", "g", "n", F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
 
 
-def _estimate(pdf):
-    import pandas as pd
+def language_models(docs: DataFrame) -> DataFrame:
+    """(lang, level, back, key, value): for each level from 1 to ORDER log probabilities by packed n-gram (back false) and
+    log back-off weights by packed context (back true), of all docs (lang, text). Seen 5-grams are those of two texts."""
+    table = materialize(docs.mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
+    levels = [table]
+    for n in range(ORDER - 1, 0, -1):
+        suffix = F.col("g").bitwiseAND(F.lit((1 << BITS * n) - 1))
+        levels.append(materialize(levels[-1].groupBy("lang", suffix.alias("g")).agg(F.count("*").alias("n")), "grams"))
+    out, lower = None, None
+    for n, counted in zip(range(1, ORDER + 1), reversed(levels)):
+        cut = _discounted(counted, n == ORDER).withColumn("c", F.shiftright("g", BITS))
+        context = cut.groupBy("lang", "c").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("w"))
+        seen = cut.where("n > 1") if n == ORDER else cut
+        p = seen.join(context, ["lang", "c"])
+        if n == 1:
+            low = F.lit(1.0 / (1 << BITS))
+        else:
+            p = p.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1)))
+            p = p.join(lower.select("lang", F.col("g").alias("s"), F.col("p").alias("low")), ["lang", "s"])
+            low = F.col("low")
+        lower = materialize(p.select("lang", "g", ((F.col("n") - F.col("d")) / F.col("total") + F.col("w") * low).alias("p")), "level")
+        rows = lower.select("lang", F.lit(n).alias("level"), F.lit(False).alias("back"), F.col("g").alias("key"), F.log("p").cast("float").alias("value"))
+        rows = rows.unionByName(context.select("lang", F.lit(n).alias("level"), F.lit(True).alias("back"), F.col("c").alias("key"), F.log(F.greatest("w", F.lit(1e-12))).cast("float").alias("value")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    pdf = pdf.sort_values("gram")
-    model = estimate(pdf["gram"].to_numpy(), pdf["n"].to_numpy())
-    return pd.DataFrame([{"lang": pdf["lang"].iloc[0]} | {p: model[p].tobytes() for p in _PARTS}])
 
+Model = dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]
 
-def language_models(docs: DataFrame) -> DataFrame:
-    """One row a language: the arrays of its model, from the 4-gram counts of all docs (lang, text). A language has at
-    most 64 ** 4 of them, whatever the size of the corpus, and far fewer in practice."""
-    counts = docs.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return counts.groupBy("lang").applyInPandas(_estimate, "lang string, " + ", ".join(f"{p} binary" for p in _PARTS))
 
+def arrays(table: pa.Table) -> dict[str, Model]:
+    """Sorted keys and values by language, level and kind."""
+    out: dict[str, Model] = {}
+    if not table.num_rows:
+        return out
+    langs, code = np.unique(table["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    level, back, key, value = (table[c].to_numpy(zero_copy_only=False) for c in ("level", "back", "key", "value"))
+    kind = (code * (ORDER + 1) + level) * 2 + back
+    order = np.lexsort((key, kind))
+    kind, key, value = kind[order], key[order], value[order]
+    edges = np.flatnonzero(np.diff(kind, prepend=-1))
+    for a, b in zip(edges, [*edges[1:], len(kind)]):
+        k = int(kind[a])
+        out.setdefault(str(langs[k // 2 // (ORDER + 1)]), {})[k // 2 % (ORDER + 1), bool(k % 2)] = key[a:b], value[a:b]
+    return out
 
-def _unpacked(row) -> dict[str, np.ndarray]:
-    return indexed({p: np.frombuffer(row[p], np.uint32 if p[0] in "kc" else np.float32) for p in _PARTS})
 
+def _found(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if table is None:
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return table[0][at] == keys, table[1][at]
 
-class Models:
-    """Models by language: broadcast ones, or read from the table in the shared folder when first asked for."""
 
-    def __init__(self, rows: list | None, path: str):
-        self.rows, self.path = None if rows is None else {r["lang"]: {p: bytes(r[p]) for p in _PARTS} for r in rows}, path
+def log_probabilities(model: Model, keys: np.ndarray, n: int = ORDER) -> np.ndarray:
+    """Natural log probability of the last class of each packed n-gram; sorted keys are looked up fastest."""
+    if n == 0:
+        return np.full(len(keys), -BITS * np.log(2), np.float32)
+    seen, out = _found(model.get((n, False)), keys)
+    if len(miss := np.flatnonzero(~seen)):
+        gone = keys[miss]
+        weighted, weight = _found(model.get((n, True)), gone >> BITS)
+        out = out.copy()
+        out[miss] = np.where(weighted, weight, np.float32(0)) + log_probabilities(model, gone & ((1 << BITS * (n - 1)) - 1), n - 1)
+    return out
 
-    @lru_cache(maxsize=8)  # noqa: B019
-    def of(self, lang: str) -> dict[str, np.ndarray]:
-        if self.rows is not None:
-            return _unpacked(self.rows[lang])
-        import pyarrow.dataset as ds
-        import pyarrow.fs as pafs
 
-        fs, at = pafs.FileSystem.from_uri(self.path)
-        return _unpacked(ds.dataset(at, filesystem=fs, format="parquet").to_table(filter=ds.field("lang") == lang).to_pylist()[0])
+class Models:
+    """Models by language: broadcast ones, or read from the table in the shared folder when first asked for."""
 
-    def languages(self) -> list[str]:
-        if self.rows is not None:
-            return sorted(self.rows)
-        import pyarrow.dataset as ds
-        import pyarrow.fs as pafs
+    def __init__(self, models: dict[str, Model] | None, path: str, common: list[str]):
+        self.models, self.path, self.common = models, path, common
 
-        fs, at = pafs.FileSystem.from_uri(self.path)
-        return sorted(ds.dataset(at, filesystem=fs, format="parquet").to_table(columns=["lang"])["lang"].to_pylist())
+    def of(self, lang: str) -> Model:
+        return self.models.get(lang, {}) if self.models is not None else _read_model(self.path, lang)
 
-    def __reduce__(self):
-        return _restored, (self.rows, self.path)
 
+@lru_cache(maxsize=LANGUAGES + 4)
+def _read_model(path: str, lang: str) -> Model:
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
 
-def _restored(rows, path):
-    m = Models(None, path)
-    m.rows = rows
-    return m
+    fs, at = pafs.FileSystem.from_uri(path)
+    return arrays(ds.dataset(at, filesystem=fs, format="parquet").to_table(filter=ds.field("lang") == lang)).get(lang, {})
 
 
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -260,20 +237,15 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def scores(models: Models, lang: str, texts: list[str]) -> np.ndarray:
-    """Mean negative log probability a character of texts that aren't empty, all of one language."""
+    """Mean negative log probability a character of texts that aren't empty, all of one language: of each block the best of
+    the language's own model and of the commonest ones, since a text of two languages is no bad one."""
     cls, bounds = classes(texts)
-    keys, model = grams(cls, bounds), models.of(lang)
-    out = -np.add.reduceat(log_probabilities(model, keys).astype(np.float64), bounds[:-1]) / np.diff(bounds)
-    if len(high := np.flatnonzero(out > model["mean"][0] + FOREIGN)):
-        keys = np.concatenate([keys[bounds[d] : bounds[d + 1]] for d in high])
-        ends = np.cumsum(np.diff(bounds)[high])
-        begins = ends - np.diff(bounds)[high]
-        edges = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(begins, ends)])
-        best = np.full(len(edges), np.inf)
-        for other in models.languages():
-            best = np.minimum(best, -np.add.reduceat(log_probabilities(models.of(other), keys).astype(np.float64), edges))
-        out[high] = np.bincount(np.searchsorted(begins, edges, "right") - 1, best) / (ends - begins)
-    return out
+    keys, inverse = np.unique(grams(cls, bounds), return_inverse=True)
+    edges = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(bounds[:-1], bounds[1:])])
+    best = np.full(len(edges), np.inf)
+    for name in dict.fromkeys([lang, *models.common]):
+        best = np.minimum(best, -np.add.reduceat(log_probabilities(models.of(name), keys).astype(np.float64)[inverse], edges))
+    return np.bincount(np.searchsorted(bounds[:-1], edges, "right") - 1, best, len(texts)) / np.diff(bounds)
 
 
 def _score(models):
@@ -285,39 +257,50 @@ def _score(models):
                 own = [i for i, x in enumerate(langs) if x == lang and texts[i]]
                 if own:
                     score[own] = scores(models.value, lang, [texts[i] for i in own])
-            arrays = [pa.array(langs, pa.string()), *(pa.array(out[n]) for n in _STATS), pa.array(score, mask=np.isnan(score))]
+            arrays_ = [pa.array(langs, pa.string()), *(pa.array(out[n]) for n in _STATS), pa.array(score, mask=np.isnan(score))]
             extra = [part.column(i) for i in range(2, part.num_columns)]
-            yield pa.RecordBatch.from_arrays(arrays + extra, names=[*_SCORE.names, *part.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays(arrays_ + extra, names=[*_SCORE.names, *part.schema.names[2:]])
 
     return run
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text, lang; other columns are ignored): doc_id, the counts of _STATS, base_failed, score
-    (mean negative log probability a character, null for empty texts), lower and upper (the language's band), kept.
-
-    Words are white-space separated. base_failed: fewer than 50 words, or over half of them in runs of three words that
-    the text has twice. Else a document is kept if its score lies in the band of its language, which follows from the
-    quartiles of all documents of the language that the base rules keep. A null language is a language of its own, null
-    texts are empty, rows are judged one by one, and an empty table gives an empty result."""
+def _judged(docs: DataFrame, rows: bool) -> DataFrame:
+    """id, row (if wanted), the counts, base_failed, score, lower, upper, kept of each row. Rows go along with their scores, so
+    that no text is shuffled."""
     spark = docs.sparkSession
-    own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    own = whole_rows(docs).select(F.col("row.lang").cast("string").alias("lang"), F.col("row.text").cast("string").alias("text"), "id", *(["row"] if rows else []))
     table = materialize(language_models(own.select("lang", "text")), "models")
-    size = table.select(F.sum(sum((F.length(p) for p in _PARTS), F.lit(0)))).first()[0] or 0
-    models = spark.sparkContext.broadcast(Models(table.collect() if size <= BROADCAST_BYTES else None, table.inputFiles()[0].rpartition("/")[0] if size > BROADCAST_BYTES else ""))
-    kinds = "row_lang string, " + ", ".join(f"{n} long" for n in _STATS) + ", score double, doc_id long"
+    by_size = table.where("level = 1 and not back").groupBy("lang").agg(F.count("*").alias("k"))
+    ranked = own.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "lang").limit(LANGUAGES)
+    common = [r.lang for r in ranked.collect()]
+    small = table.count() <= BROADCAST_ROWS
+    path = "" if small else qualified(spark, table.inputFiles()[0].rpartition("/")[0])
+    models = spark.sparkContext.broadcast(Models(arrays(table.toArrow()) if small else None, path, common))
+    kinds = "row_lang string, " + ", ".join(f"{n} long" for n in _STATS) + ", score double, id long" + (f", row {docs.schema.simpleString()}" if rows else "")
     scored = materialize(own.mapInArrow(_score(models), kinds), "scores")
     scored = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     q = scored.where("not base_failed").groupBy("row_lang").agg(F.percentile_approx("score", [0.25, 0.5, 0.75], 10000).alias("q"))
     spread = F.greatest(F.col("q")[2] - F.col("q")[1], F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
     bands = q.select(F.col("row_lang").alias("_lang"), (F.col("q")[1] - LOWER * spread).alias("lower"), (F.col("q")[1] + UPPER * spread).alias("upper"))
-    if table.count() <= BROADCAST_LANGUAGES:
+    if by_size.count() <= BROADCAST_LANGUAGES:
         bands = F.broadcast(bands)
     out = scored.join(bands, F.col("row_lang") == F.col("_lang"), "left")
     keep = ~F.col("base_failed") & F.col("score").between(F.col("lower"), F.col("upper"))
-    return out.select("doc_id", *_STATS, "base_failed", "score", "lower", "upper", F.coalesce(keep, F.lit(False)).alias("kept"))
+    return out.withColumn("kept", F.coalesce(keep, F.lit(False)))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text, lang; other columns are ignored): doc_id, the counts of _STATS, base_failed, score
+    (mean negative log probability a character, null for empty texts), lower and upper (the language's band), kept.
+
+    Words are white-space separated. base_failed: fewer than 50 words, or over half of them in runs of three words that
+    the text has twice. Else a document is kept if its score lies in the band of its language, which follows from the
+    quartiles of all documents of the language that the base rules keep. A null language is a language of its own, null
+    texts are empty, rows are judged one by one (very long ones whole, in memory that follows the longest text), and an
+    empty table gives an empty result. A worker holds the models of its texts' languages and of the LANGUAGES commonest."""
+    return _judged(docs, False).select(F.col("id").alias("doc_id"), *_STATS, "base_failed", "score", "lower", "upper", "kept")
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judged() keeps, with all their columns. Of rows with one doc_id all stay if one is kept."""
-    return rows_of(docs, judged(docs).where("kept").select("doc_id").distinct())
+    """The rows of docs that judged() keeps, with all their columns; rows with one doc_id are judged each by itself."""
+    return _judged(docs, True).where("kept").select("row.*")
