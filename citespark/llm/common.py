@@ -119,14 +119,17 @@ def runs(texts: pa.Array, most: int = RUN_BYTES):
         at = end
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in bytes, and first[i], the index of text i's first word (one more for the end)."""
+def words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray = WHITE, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in bytes, and first[i], the index of text i's first word (one more for the end). Words
+    also end at the places of cuts."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~sep[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
+    if cuts is not None:
+        cut[cuts] = True
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | cut[1:n]
     stops = inside.copy()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citespark.llm.common import whole_rows
 
-#: Relative error of the sketches: 64 registers in seven longs. Five sites fill one register alone once in 16 million lines.
+#: Relative error of the sketches: 64 registers in seven longs.
 ERROR = 0.15
 SITES = 5
 
@@ -19,11 +19,16 @@ def line_hash(line: Column) -> Column:
 def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """(line, first): hash of each line that `sites` distinct sources or more have, and the smallest doc_id with it.
 
-    A HyperLogLog sketch of the sources is aggregated for each line. Where the estimate is 2 to twice the threshold, the
-    distinct sources are counted exactly; an estimate of 1 or of more than twice the threshold is decided as it is."""
+    A HyperLogLog sketch of the sources is aggregated for each line, with the least and the greatest hash of a source, which
+    are equal where there is one source only. Of lines of several sources the distinct ones are counted exactly where the
+    estimate is up to twice the threshold; a larger one is decided as it is, since `sites - 1` sources fill no more registers
+    than that, which can't give it."""
     lines = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("l")).where(F.trim("l") != "")
     lines = lines.select("doc_id", "source", line_hash(F.col("l")).alias("line"))
-    spread = lines.groupBy("line").agg(F.approx_count_distinct("source", ERROR).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    site = F.xxhash64("source")
+    site = F.when(F.col("source").isNotNull(), site)
+    spread = lines.groupBy("line").agg(F.approx_count_distinct("source", ERROR).alias("n"), F.min("doc_id").alias("first"), F.min(site).alias("low"), F.max(site).alias("high"))
+    spread = spread.where("low <> high" if sites > 1 else "low is not null").select("line", "n", "first")
     near = spread.where(F.col("n") <= 2 * sites)
     pairs = lines.select("line", "source").where("source is not null").distinct()  # before the join, which a hot line would skew
     exact = pairs.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("*").alias("exact"))
@@ -38,14 +43,16 @@ def _cleaned(docs: DataFrame, sites: int) -> DataFrame:
     """(row, id, text, n_lines, n_removed): the rows as they are, and their texts without shared lines."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     shared = boilerplate(own, sites)
-    lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).where(F.trim("l") != "").select("doc_id", line_hash(F.col("l")).alias("line"))
+    sub = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without an id stay apart
+    lines = own.select("doc_id", sub.alias("sub"), F.explode(F.split("text", "\n")).alias("l")).where(F.trim("l") != "").select("doc_id", "sub", line_hash(F.col("l")).alias("line"))
     gone = (
         lines.join(shared, "line")
         .where(~F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc_id").alias("_id"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("sub").alias("_sub"))
         .agg(F.collect_set("line").alias("gone"))
     )
-    out = whole_rows(docs).join(gone, F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    rows = whole_rows(docs).withColumn("sub", F.when(F.col("id").isNull(), F.xxhash64(F.col("row.text").cast("string"))))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & F.col("sub").eqNullSafe(F.col("_sub")), "left").drop("_id", "_sub", "sub")
     out = out.withColumn("text", F.col("row.text").cast("string")).withColumn("lines", F.split("text", "\n"))
     kept = F.filter("lines", lambda l: (F.trim(l) == "") | ~F.array_contains("gone", line_hash(l)))
     out = out.withColumn("kept", F.when(F.col("gone").isNotNull(), kept)).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long"))

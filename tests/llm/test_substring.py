@@ -3,38 +3,40 @@ from __future__ import annotations
 import random
 import re
 
-from citespark.llm.substring import ENOUGH_WORDS, MIN_WORDS, SENTENCES, without_repeats
+from citespark.llm.substring import LONG, MIN_WORDS, SENTENCES, without_repeats
 from llmprose import prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+FAR = "。！？।"
+
+
+def weight(word):
+    return max(1, sum(ord(c) >= 0x800 for c in word) // 2)
+
+
 def cut(text):
-    """(words, start, end) of each sentence; end is where the next one starts."""
-    out, now = [], []
-    for m in re.finditer("[^\x20\x09-\x0d]+", text):
-        if now and (now[-1][0][-1] in ".!?" or "\n" in text[now[-1][2] : m.start()]):
+    """(words, start, end, weight) of each sentence; end is where the next one starts."""
+    out, now, held = [], [], 0
+    for m in re.finditer(f"[^\x20\x09-\x0d{FAR}]*[{FAR}]|[^\x20\x09-\x0d{FAR}]+", text):
+        ends = bool(now) and ((now[-1][0][-1] in ".!?" and m.start() > now[-1][2]) or "\n" in text[now[-1][2] : m.start()] or now[-1][0][-1] in FAR)
+        part = 0 if ends else held // LONG
+        if now and (ends or part != now[-1][3]):
             out.append(now)
             now = []
-        now.append((m[0], m.start(), m.end()))
+        held = 0 if ends else held
+        now.append((m[0], m.start(), m.end(), part))
+        held += weight(m[0])
     out += [now] if now else []
     starts = [s[0][1] for s in out] + [len(text)]
-    return [(tuple(w.translate(LOWER) for w, _, _ in s), starts[i], starts[i + 1]) for i, s in enumerate(out)]
-
-
-def enough(run):
-    n = sum(len(s[0]) for s in run)
-    return n >= ENOUGH_WORDS or (n >= MIN_WORDS and len(run) >= SENTENCES)
+    return [(tuple(w[0].translate(LOWER) for w in s), starts[i], starts[i + 1], sum(weight(w[0]) for w in s)) for i, s in enumerate(out)]
 
 
 def runs(s):
-    got = set()
-    for i in range(len(s)):
-        j = next((j for j in range(i + 1, len(s) + 1) if enough(s[i:j])), None)
-        got |= {(i, j)} if j else set()
-        j = next((j for j in range(i, -1, -1) if enough(s[j : i + 1])), None)
-        got |= {(j, i + 1)} if j is not None else set()
-    return sorted(got)
+    """Every run of so many consecutive sentences, all of a shorter text, of enough words."""
+    k = min(SENTENCES, len(s))
+    return [(i, i + k) for i in range(len(s) - k + 1) if k and sum(x[3] for x in s[i : i + k]) >= MIN_WORDS]
 
 
 def brute(docs):
@@ -62,7 +64,8 @@ def test_matches_brute_force(spark, documents):
     for i in range(50):
         parts = [prose(r.randrange(0, 60), 500 + i)] + [r.choice(shared) for _ in range(r.randrange(0, 3))] + [prose(r.randrange(0, 30), 900 + i)]
         docs.append((i, r.choice(["\n", " ", "\n\n"]).join(parts)))
-    docs += [(60, None), (61, ""), (62, " \n "), (3, docs[3][1]), (None, shared[0]), (63, "No stop " * 60), (64, "no STOP " * 60), (65, "One. " * 80)]
+    docs += [(60, None), (61, ""), (62, " \n "), (3, docs[3][1]), (None, shared[0]), (63, "No stop " * 60), (64, "no STOP " * 60), (65, "One. " * 80), (66, "漢字が並ぶ文です。次の文もここに並ぶ。三つ目の文がある！終わり" * 3), (67, "前。漢字が並ぶ文です。次の文もここに並ぶ。三つ目の文がある！終わり"), (68, "a b. c d."), (69, "a.b c. " * 9)]
+    docs += [(None, f"{prose(30, 7)} {shared[1]}"), (None, shared[1])]
     got = sorted(((x.doc_id, x.n_sentences, x.n_removed, x.text) for x in without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
     assert got == brute(docs)
     sample = [(x.doc_id, x.text) for x in documents.limit(120).collect()]
@@ -80,3 +83,9 @@ def test_long_passage_goes_from_all_but_the_first(spark):
 def test_awkward_rows(awkward, no_docs):
     assert without_repeats(awkward).count() == awkward.count()
     assert without_repeats(no_docs).count() == 0
+
+
+def test_parameters(spark):
+    docs = spark.createDataFrame([(1, "One two. Three four. Five six."), (2, "Seven. One two. Three four. Eight.")], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in without_repeats(docs, sentences=2, min_words=4).collect()}
+    assert got == {1: "One two. Three four. Five six.", 2: "Seven. Eight."}
