@@ -23,78 +23,44 @@ def query(sql: str | None = None):
     return register
 
 
-def _pairs(spark: SparkSession, sf_dir: str, rest: int) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 4 == rest)
+def _pairs(spark: SparkSession, sf_dir: str, halves: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """Pairs of all orders; those of even keys are one half, those of odd ones the other."""
+    o = read(spark, sf_dir, "orders").where((F.col("o_orderkey") % 2).isin(*halves))
     return o.select(F.col("o_custkey").alias("item_key"), (F.col("o_orderkey") % 97).alias("related_key")).distinct()
 
 
-def _pairs_sql(rest: int) -> str:
-    return f"SELECT DISTINCT o_custkey AS item_key, o_orderkey % 97 AS related_key FROM orders WHERE o_orderkey % 4 = {rest}"
+def _pairs_sql(half: int | None = None) -> str:
+    return f"SELECT DISTINCT o_custkey AS item_key, o_orderkey % 97 AS related_key FROM orders{'' if half is None else f' WHERE o_orderkey % 2 = {half}'}"
 
 
 _TURN = "SELECT related_key AS item_key, item_key AS related_key FROM"
 
 
-@query(f"WITH n AS ({_pairs_sql(0)}) SELECT * FROM n UNION {_TURN} n")
+@query(f"WITH n AS ({_pairs_sql()}) SELECT * FROM n UNION {_TURN} n")
 def relations_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _pairs(spark, sf_dir, 0)
+    new = _pairs(spark, sf_dir)
     return items.with_relations(new.limit(0), new)
 
 
-@query(f"""WITH n AS ({_pairs_sql(0)}), r AS (SELECT * FROM n UNION {_TURN} n), g AS (SELECT * FROM n WHERE item_key % 3 = 0)
+@query(f"""WITH n AS ({_pairs_sql()}), r AS (SELECT * FROM n UNION {_TURN} n), g AS (SELECT * FROM n WHERE item_key % 3 = 0)
 SELECT * FROM r EXCEPT (SELECT * FROM g UNION {_TURN} g)""")
 def relations_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _pairs(spark, sf_dir, 0)
+    new = _pairs(spark, sf_dir)
     return items.without_relations(items.with_relations(new.limit(0), new), new.where("item_key % 3 = 0"))
 
 
 @query(f"""WITH n AS ({_pairs_sql(0)}), m AS ({_pairs_sql(1)}), r AS (SELECT * FROM n UNION {_TURN} n), h AS (SELECT * FROM m INTERSECT SELECT * FROM r), w AS (SELECT * FROM m EXCEPT SELECT * FROM h)
 (SELECT * FROM r EXCEPT (SELECT * FROM h UNION {_TURN} h)) UNION SELECT * FROM w UNION {_TURN} w""")
 def relation_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _pairs(spark, sf_dir, 0)
-    return items.toggled(items.with_relations(new.limit(0), new), _pairs(spark, sf_dir, 1))
+    """The pairs of even keys are there, and those of odd ones are toggled."""
+    new = _pairs(spark, sf_dir, (0,))
+    return items.toggled(items.with_relations(new.limit(0), new), _pairs(spark, sf_dir, (1,)))
 
 
-@query(f"WITH n AS ({_pairs_sql(0)}) SELECT item_key, related_key, p_name AS title FROM n JOIN part ON p_partkey = related_key")
+@query(f"WITH n AS ({_pairs_sql()}) SELECT item_key, related_key, p_name AS title FROM n JOIN part ON p_partkey = related_key")
 def own_related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_key"), F.col("p_name").alias("title"))
-    return items.related_items(_pairs(spark, sf_dir, 0), lib).select("item_key", "related_key", "title")
-
-
-# The same with all orders; for the toggle, those with even keys are there and those with odd ones are toggled.
-
-
-def _every_pair(spark: SparkSession, sf_dir: str, halves: tuple[int, ...] = (0, 1)) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where((F.col("o_orderkey") % 2).isin(*halves))
-    return o.select(F.col("o_custkey").alias("item_key"), (F.col("o_orderkey") % 97).alias("related_key")).distinct()
-
-
-def _every_order(name: str) -> str:
-    return ORACLE_SQL[name].replace(" WHERE o_orderkey % 4 = 0", "")
-
-
-@query(_every_order("relations_symmetric"))
-def relations_symmetric_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _every_pair(spark, sf_dir)
-    return items.with_relations(new.limit(0), new)
-
-
-@query(_every_order("relations_removed"))
-def relations_removed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _every_pair(spark, sf_dir)
-    return items.without_relations(items.with_relations(new.limit(0), new), new.where("item_key % 3 = 0"))
-
-
-@query(ORACLE_SQL["relation_toggle"].replace("o_orderkey % 4", "o_orderkey % 2"))
-def relation_toggle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _every_pair(spark, sf_dir, (0,))
-    return items.toggled(items.with_relations(new.limit(0), new), _every_pair(spark, sf_dir, (1,)))
-
-
-@query(_every_order("own_related_items"))
-def own_related_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lib = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_key"), F.col("p_name").alias("title"))
-    return items.related_items(_every_pair(spark, sf_dir), lib).select("item_key", "related_key", "title")
+    return items.related_items(_pairs(spark, sf_dir), lib).select("item_key", "related_key", "title")
 
 
 @query("""SELECT p_partkey AS ref_id, CASE p_size % 3 WHEN 0 THEN 'journalArticle' WHEN 1 THEN 'book' ELSE 'preprint' END AS item_type, p_name AS title,
@@ -161,28 +127,12 @@ def labels_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(k.alias("id"), items.cache_key(F.col("c_nationkey"), F.col("c_name")).alias("key"), items.short_label(author, year, title).alias("short"), graph.node_label(author, year, title).alias("label"))
 
 
-@query(r"""SELECT doc_id, regexp_replace('[' || doc_id || ']  ' || left(text, 30), '^(\[[0-9]+\]|[0-9]+[.)])\s*', '') AS plain, regexp_replace(left(text, 30), '[\s0-9]+', '', 'g') AS bare,
-CASE WHEN doc_id % 2 = 0 THEN 'Poly' || lang ELSE 'Poly ' || lang END AS joined FROM documents WHERE NOT regexp_matches(left(text, 30), '^[A-Z]{1,3}$') AND regexp_matches(text, '^[A-Za-z]')""")
-def small_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").withColumn("t", F.substring("text", 1, 30)).where(~F.col("t").rlike(r"^[A-Z]{1,3}\z") & F.col("text").rlike("^[A-Za-z]"))
-    k = F.col("doc_id")
-    cut = F.concat(F.lit("["), k.cast("string"), F.lit("]  "), "t")
-    return d.select("doc_id", F.regexp_replace(tx.without_list_number(F.concat(cut, F.lit("."))), r"\.\z", "").alias("plain"), tx.without_page_number(F.concat("t")).alias("bare"), tx.joined_lines(F.when(k % 2 == 0, "Poly-").otherwise("Poly"), F.col("lang")).alias("joined"))
-
-
-@query(f"""WITH {TITLES} SELECT page_id, replace(url_encode(coalesce(title, '')), '%7E', '~') AS encoded FROM ti WHERE NOT regexp_matches(title, '[!()*'']') OR title IS NULL""")
-def encoded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = titles(spark, sf_dir).where(F.col("title").isNull() | ~F.col("title").rlike("[!()*']"))
-    return t.select("page_id", tx.encode_component(F.coalesce("title", F.lit(""))).alias("encoded"))
-
-
 _STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
 @query(rf"""SELECT doc_id, regexp_replace({_STRIPPED.format("'[' || doc_id || ']  ' || text")}, '^(\[[0-9]+\]|[0-9]+[.)])\s*', '') AS plain,
 CASE WHEN regexp_matches({_STRIPPED.format("text")}, '^[A-Z]{{1,3}}$') THEN '' ELSE regexp_replace(text, '[\s0-9]+', '', 'g') END AS bare, CASE WHEN doc_id % 2 = 0 THEN 'Poly' || lang ELSE 'Poly ' || lang END AS joined FROM documents""")
-def small_text_functions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, over every document's whole text."""
+def small_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     numbered = F.concat(F.lit("["), k.cast("string"), F.lit("]  "), "text")
     return read(spark, sf_dir, "documents").select("doc_id", tx.without_list_number(numbered).alias("plain"), tx.without_page_number("text").alias("bare"), tx.joined_lines(F.when(k % 2 == 0, "Poly-").otherwise("Poly"), F.col("lang")).alias("joined"))
@@ -196,7 +146,7 @@ def _encoded_sql(c: str) -> str:
 
 
 @query(f"""WITH {TITLES} SELECT page_id, {_encoded_sql("coalesce(title, '')")} AS encoded FROM ti""")
-def encoded_titles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select("page_id", tx.encode_component(F.coalesce("title", F.lit(""))).alias("encoded"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citespark.operators import cache, cascade, export, graph, match, paging
-from citespark.plans import item_queries, text_queries
+from citespark.plans import item_queries, source_queries, text_queries
 from citespark.plans.tables import PART_REFS, TITLES, WORK_REFS, norm_sql, part_refs, read, titles, work_refs
 
 FLAGSHIP = "coupling_top200"
@@ -65,9 +65,9 @@ def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- neighbourhoods
 
 
-def _neighbourhood(spark: SparkSession, sf_dir: str, last: int, max_nodes: int = 50):
-    """The neighbourhoods of the parts up to a number."""
-    return _around(spark, sf_dir, lambda p: p.where(F.col("work_id") <= last), max_nodes)
+def _neighbourhood(spark: SparkSession, sf_dir: str, max_nodes: int = 50):
+    """The neighbourhoods of all parts."""
+    return _around(spark, sf_dir, lambda p: p, max_nodes)
 
 
 def _around(spark: SparkSession, sf_dir: str, chosen: Callable[[DataFrame], DataFrame], max_nodes: int = 50):
@@ -83,9 +83,9 @@ def _around(spark: SparkSession, sf_dir: str, chosen: Callable[[DataFrame], Data
     return graph.nodes(o.select("origin_id"), refs, cites, related, counts, max_nodes)
 
 
-def _nodes_sql(last: int, max_nodes: int = 50) -> str:
+def _nodes_sql(max_nodes: int = 50) -> str:
     return f"""{WORK_REFS}, cc AS (SELECT ref_id AS work_id, count(*) AS citation_count FROM wr GROUP BY ref_id),
-o AS (SELECT p_partkey AS origin_id, p_brand, p_size FROM part WHERE p_partkey <= {last}),
+o AS (SELECT p_partkey AS origin_id, p_brand, p_size FROM part),
 pairs AS (SELECT origin_id, p_partkey AS work_id FROM o JOIN part p ON o.p_size = p.p_size AND p.p_partkey <> origin_id),
 ci AS (SELECT origin_id, work_id, -work_id AS ord, row_number() OVER (PARTITION BY origin_id ORDER BY -work_id) AS i FROM pairs WHERE work_id < origin_id),
 re AS (SELECT origin_id, p_partkey AS work_id, p_partkey AS ord, row_number() OVER (PARTITION BY origin_id ORDER BY p_partkey) AS i
@@ -99,17 +99,18 @@ r AS (SELECT origin_id, d.work_id, prio, ord, citation_count,
 n AS (SELECT origin_id, work_id, ['origin', 'reference', 'citation', 'related'][prio + 1] AS kind, citation_count, CAST(rank AS INT) AS rank FROM r WHERE rank <= {max_nodes})"""
 
 
-@query(f"WITH {_nodes_sql(1)} SELECT * FROM n")
+@query(f"WITH {_nodes_sql(20)} SELECT * FROM n")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbourhood(spark, sf_dir, 1)
+    """The same with a smaller cap."""
+    return _neighbourhood(spark, sf_dir, 20)
 
 
-@query(f"WITH {_nodes_sql(40)} SELECT * FROM n")
+@query(f"WITH {_nodes_sql()} SELECT * FROM n")
 def graph_nodes_multi_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbourhood(spark, sf_dir, 40)
+    return _neighbourhood(spark, sf_dir)
 
 
-_EDGES = f"""{_nodes_sql(40)}, {PART_REFS}, l AS (SELECT DISTINCT origin_id, n.work_id, ref_id FROM n JOIN pr ON n.work_id = pr.work_id WHERE kind = 'reference'),
+_EDGES = f"""{_nodes_sql()}, {PART_REFS}, l AS (SELECT DISTINCT origin_id, n.work_id, ref_id FROM n JOIN pr ON n.work_id = pr.work_id WHERE kind = 'reference'),
 c AS (SELECT a.origin_id, a.work_id AS source, b.work_id AS target, count(*) AS weight FROM l a JOIN l b
       ON a.origin_id = b.origin_id AND a.ref_id = b.ref_id AND a.work_id < b.work_id GROUP BY ALL HAVING count(*) >= 2),
 t AS (SELECT *, row_number() OVER (PARTITION BY origin_id ORDER BY weight DESC, source, target) AS i FROM c),
@@ -120,19 +121,19 @@ e AS (SELECT origin_id, origin_id AS source, work_id AS target, 1 AS weight, 'di
 @query(f"WITH {_EDGES} SELECT origin_id, source, target, CAST(weight AS BIGINT) AS weight, kind FROM e")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts share suppliers rarely in these tables, so two shared ones make an edge here."""
-    return graph.edges(_neighbourhood(spark, sf_dir, 40), part_refs(spark, sf_dir), min_shared=2)
+    return graph.edges(_neighbourhood(spark, sf_dir), part_refs(spark, sf_dir), min_shared=2)
 
 
-@query(f"WITH {_nodes_sql(40)} SELECT n.*, s_suppkey IS NOT NULL AS in_library FROM n LEFT JOIN supplier ON work_id = s_suppkey")
+@query(f"WITH {_nodes_sql()} SELECT n.*, s_suppkey IS NOT NULL AS in_library FROM n LEFT JOIN supplier ON work_id = s_suppkey")
 def graph_in_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("work_id"))
-    return graph.in_library(_neighbourhood(spark, sf_dir, 40), library)
+    return graph.in_library(_neighbourhood(spark, sf_dir), library)
 
 
-@query(f"""WITH {_nodes_sql(40)} SELECT origin_id, work_id,
+@query(f"""WITH {_nodes_sql()} SELECT origin_id, work_id,
 round(least(4.5 + 2.2 * log10(1 + coalesce(citation_count, 0)), 13.0) + CASE WHEN kind = 'origin' THEN 4.0 ELSE 0.0 END, 6) AS radius FROM n""")
 def node_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _neighbourhood(spark, sf_dir, 40)
+    n = _neighbourhood(spark, sf_dir)
     return n.select("origin_id", "work_id", F.round(graph.node_radius(F.col("citation_count"), F.col("kind") == "origin"), 6).alias("radius"))
 
 
@@ -143,62 +144,17 @@ def edge_force_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("origin_id", "source", "target", "kind", "f.distance", F.round("f.strength", 6).alias("strength"))
 
 
-@query(f"""WITH {_nodes_sql(40)}, s AS (SELECT origin_id, work_id,
+@query(f"""WITH {_nodes_sql()}, s AS (SELECT origin_id, work_id,
 round(least(4.5 + 2.2 * log10(1 + coalesce(citation_count, 0)), 13.0) + CASE WHEN kind = 'origin' THEN 4.0 ELSE 0.0 END, 6) AS radius FROM n)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY origin_id ORDER BY radius DESC, work_id) AS INT) AS label_rank FROM s) WHERE label_rank <= 8""")
 def label_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.labelled(node_radius(spark, sf_dir), 360)
 
 
-@query(f"WITH {_nodes_sql(40)} SELECT DISTINCT work_id AS origin_id FROM n WHERE rank = 2")
+@query(f"WITH {_nodes_sql()} SELECT * FROM n WHERE origin_id IN (SELECT work_id FROM n WHERE rank = 2)")
 def graph_recentre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _neighbourhood(spark, sf_dir, 40)
-    return graph.recentred(n.select("origin_id").distinct(), n.where("rank = 2").select("origin_id", "work_id"))
-
-
-# The same with every part as an origin.
-
-
-def _every_origin(name: str) -> str:
-    return ORACLE_SQL[name].replace(" WHERE p_partkey <= 40", "")
-
-
-@query(_every_origin("graph_nodes_multi_origin"))
-def graph_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _around(spark, sf_dir, lambda p: p)
-
-
-@query(_every_origin("graph_edges"))
-def graph_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(graph_nodes_all(spark, sf_dir), part_refs(spark, sf_dir), min_shared=2)
-
-
-@query(_every_origin("graph_in_library"))
-def graph_in_library_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.in_library(graph_nodes_all(spark, sf_dir), read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("work_id")))
-
-
-@query(_every_origin("node_radius"))
-def node_radius_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = graph_nodes_all(spark, sf_dir)
-    return n.select("origin_id", "work_id", F.round(graph.node_radius(F.col("citation_count"), F.col("kind") == "origin"), 6).alias("radius"))
-
-
-@query(_every_origin("edge_force_params"))
-def edge_force_params_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph_edges_all(spark, sf_dir).withColumn("f", graph.force_parameters(F.col("kind"), F.col("weight")))
-    return e.select("origin_id", "source", "target", "kind", "f.distance", F.round("f.strength", 6).alias("strength"))
-
-
-@query(_every_origin("label_top_k"))
-def label_top_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.labelled(node_radius_all(spark, sf_dir), 360)
-
-
-@query(f"WITH {_nodes_sql(40).replace(' WHERE p_partkey <= 40', '')} SELECT * FROM n WHERE origin_id IN (SELECT work_id FROM n WHERE rank = 2)")
-def graph_recentre_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second node of each neighbourhood becomes an origin, and the graphs around these are built."""
-    n = graph_nodes_all(spark, sf_dir)
+    n = _neighbourhood(spark, sf_dir)
     new = graph.recentred(n.select("origin_id").distinct(), n.where("rank = 2").select("origin_id", "work_id"))
     return _around(spark, sf_dir, lambda p: p.join(new.withColumnRenamed("origin_id", "work_id"), "work_id", "left_semi"))
 
@@ -375,18 +331,10 @@ def cited_by_pages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.shown_pages(pages.withColumn("source", F.lit("s2")).withColumn("total", F.lit(30))).select("list_id", "page", "event_id", "key")
 
 
-@query("""WITH a AS (SELECT o_custkey AS item_id, ['semanticscholar', 'openalex', 'crossref', 'other', 'crossref'][o_orderkey % 5 + 1] AS source, o_orderkey AS ref FROM orders WHERE o_orderkey % 3 > 0),
+@query("""WITH a AS (SELECT o_custkey AS item_id, ['semanticscholar', 'openalex', 'crossref', 'other', 'crossref'][o_orderkey % 5 + 1] AS source, o_orderkey AS ref FROM orders),
 p AS (SELECT *, CASE source WHEN 'crossref' THEN 0 WHEN 'semanticscholar' THEN 1 WHEN 'openalex' THEN 2 END AS p FROM a)
 SELECT item_id, source, ref FROM p WHERE p = (SELECT min(q.p) FROM p q WHERE q.item_id = p.item_id)""")
 def cascade_first_answering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*map(F.lit, ("semanticscholar", "openalex", "crossref", "other", "crossref")))
-    a = read(spark, sf_dir, "orders").where("o_orderkey % 3 > 0").select(F.col("o_custkey").alias("item_id"), F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("source"), F.col("o_orderkey").alias("ref"))
-    return cascade.first_answering(a, cascade.REFERENCES).select("item_id", "source", "ref")
-
-
-@query(ORACLE_SQL["cascade_first_answering"].replace(" WHERE o_orderkey % 3 > 0", ""))
-def cascade_first_answering_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, with all orders as answers."""
     names = F.array(*map(F.lit, ("semanticscholar", "openalex", "crossref", "other", "crossref")))
     a = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id"), F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("source"), F.col("o_orderkey").alias("ref"))
     return cascade.first_answering(a, cascade.REFERENCES).select("item_id", "source", "ref")
@@ -491,17 +439,6 @@ def cached_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- geometry and sequences
 
 
-@query("""WITH a AS (SELECT l_orderkey % 50 AS page, l_orderkey * 10 + l_linenumber AS id, l_quantity * 4 AS x, l_extendedprice / 100 AS y FROM lineitem WHERE l_orderkey % 40 = 0),
-p AS (SELECT l_orderkey % 50 AS page, l_orderkey * 10 + l_linenumber AS id, l_quantity * 4 AS x, l_extendedprice / 100 AS y FROM lineitem WHERE l_orderkey % 40 = 10),
-h AS (SELECT p.id AS point_id, a.id AS anchor_id, 0.25 * (p.x - a.x) ** 2 + (p.y - a.y) ** 2 AS d2 FROM p JOIN a USING (page))
-SELECT point_id, anchor_id, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, anchor_id) AS i FROM h WHERE d2 <= 3600) WHERE i = 1""")
-def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("m"), F.lit(1).alias("doc_id"), (F.col("l_orderkey") % 50).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") * 4).alias("x"), (F.col("l_extendedprice") / 100).alias("y"))
-    anchors = li.where("m = 0").select(F.col("id").alias("anchor_id"), "doc_id", "page", "x", "y", F.col("id").alias("ord"))
-    points = li.where("m = 10").select(F.col("id").alias("point_id"), "doc_id", "page", "x", "y")
-    return match.nearest(points, anchors).select("point_id", "anchor_id", F.round("distance", 6).alias("distance"))
-
-
 def points_and_anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All rows of lineitem: those with odd line numbers are anchors, the others points. A page has the lines of 20 order
     numbers, so that its size doesn't follow the table's."""
@@ -512,12 +449,12 @@ def points_and_anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 @query("""WITH l AS (SELECT l_orderkey // 20 AS page, l_orderkey * 10 + l_linenumber AS id, l_quantity * 4 AS x, l_extendedprice / 100 AS y, l_linenumber % 2 = 1 AS odd FROM lineitem),
 h AS (SELECT p.id AS point_id, a.id AS anchor_id, 0.25 * (p.x - a.x) ** 2 + (p.y - a.y) ** 2 AS d2 FROM l p JOIN l a ON p.page = a.page AND NOT p.odd AND a.odd)
 SELECT point_id, anchor_id, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, anchor_id) AS i FROM h WHERE d2 <= 3600) WHERE i = 1""")
-def nearest_anchor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.nearest(*points_and_anchors(spark, sf_dir)).select("point_id", "anchor_id", F.round("distance", 6).alias("distance"))
 
 
 @query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS n, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
-h AS (SELECT a.page * 10 + a.n AS box_id, b.page || '/' || b.n AS url, b.n FROM b a JOIN b ON a.page = b.page AND a.n <> b.n
+h AS (SELECT a.page * 10 + a.n AS box_id, b.page || '/' || b.n AS url, b.n FROM b a JOIN b ON a.page = b.page
       AND a.x <= b.x + 10 AND b.x <= a.x + 10 AND a.y <= b.y + 10 AND b.y <= a.y + 10)
 SELECT box_id, arg_max(url, n) AS url FROM h GROUP BY box_id""")
 def rect_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,8 +462,7 @@ def rect_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = li.withColumn("right", F.col("left") + 10).withColumn("top", F.col("bottom") + 10)
     boxes = li.select((F.col("page") * 10 + F.col("n")).alias("box_id"), "doc_id", "page", "n", "left", "bottom", "right", "top")
     others = li.select("doc_id", "page", F.col("n").alias("seq"), "left", "bottom", "right", "top", F.concat_ws("/", F.col("page").cast("string"), F.col("n").cast("string")).alias("url"))
-    both = boxes.join(others.select("doc_id", "page", "seq", "url", *(F.col(c).alias(f"o_{c}") for c in ("left", "bottom", "right", "top"))), ["doc_id", "page"]).where("n <> seq and left <= o_right and o_left <= right and bottom <= o_top and o_bottom <= top")
-    return both.groupBy("box_id").agg(F.max_by("url", "seq").alias("url"))
+    return match.intersecting(boxes, others)
 
 
 @query("""WITH l AS (SELECT o_custkey % 10 AS doc_id, o_orderkey // 100 AS page, o_orderkey AS line_id, CAST(floor(o_totalprice / 300) AS BIGINT) AS x, o_orderpriority AS key FROM orders),
@@ -539,5 +475,5 @@ def repeated_headers_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.repeated_across_pages(lines).select("doc_id", "page", "line_id")
 
 
-QUERIES |= text_queries.QUERIES | item_queries.QUERIES
-ORACLE_SQL |= text_queries.ORACLE_SQL | item_queries.ORACLE_SQL
+QUERIES |= text_queries.QUERIES | item_queries.QUERIES | source_queries.QUERIES
+ORACLE_SQL |= text_queries.ORACLE_SQL | item_queries.ORACLE_SQL | source_queries.ORACLE_SQL

@@ -23,39 +23,13 @@ def query(sql: str | None = None):
     return register
 
 
-#: Citations as they occur in the wild, used on both sides.
-SAMPLES = (
-    "doi: 10.1000/ab c.",
-    "Smith J. A study of things that happen often. Journal of Studies. 2019; 12: 1-9. doi:10.1234/jos.2019.001",
-    "[3] Lee K, Park S. Deep learning for small molecules and large ones. arXiv:2101.01234v2, 2021.",
-    "Old physics, arXiv:hep-th/9901001, PMID: 12345678",
-    "See https://example.org/a/b?c=d, and http://x.org/y.",
-    "12. Foo B. Polymer science of everyday life. Nature 2001, 5, 1",
-    "[12] Foo B, Bar C. “Quoted title of a work,” Proc. of Things, 1998 pp. 3",
-    "1 . Sung H, Ferlay J",
-    "10.1016/x.2020.01.001",
-    "2019 Foo something",
-    "41 , 1103",
-    "12 Foo",
-    "(7) Baz Q",
-    "References",
-    "References (160–200)",
-    "参考文献",
-    "王小明, 李雷. 一种新的方法. 中国科学, 2015",
-    "Supplementary material is available",
-    "PMID 7654321 and 10.5555/CNKI.123",
-    "",
-    "no identifiers here at all",
-    "ISSN 10.1234/issn-99",
-    "https://pubmed.ncbi.nlm.nih.gov/31245/",
-)
-
-
-def samples(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SAMPLES)), "id int, text string")
-
-
-_VALUES = "v(id, text) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SAMPLES)) + ")"
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): the whole texts of documents, and of pages with negative ids."""
+    p = read(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("html").alias("text"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(p)
+
+
+_VALUES = "v AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, html FROM pages)"
 _TIGHT = r"regexp_replace(text, '\s+', '', 'g')"
 _DOI_SQL = rf"nullif(regexp_replace(regexp_extract({_TIGHT}, '10\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9<>]+[^.\]\s]'), '[.,;]+$', ''), '')"
 _ARXIV_SQL = rf"coalesce(nullif(regexp_extract({_TIGHT}, '(?i)arXiv[.:]([0-9]{{4}}\.[0-9]{{4,5}}(?:v[0-9]+)?)', 1), ''), nullif(regexp_extract({_TIGHT}, '(?i)arXiv[.:]([a-z-]+(?:\.[A-Z]{{2}})?/[0-9]{{7}})', 1), ''))"
@@ -64,17 +38,17 @@ _PMID_SQL = r"nullif(regexp_extract(text, '(?i)PMID[:\s]*([0-9]{6,9})', 1), '')"
 
 @query(f"WITH {_VALUES} SELECT id, {_DOI_SQL} AS doi, {_ARXIV_SQL} AS arxiv, {_PMID_SQL} AS pmid FROM v")
 def extract_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", tx.identifiers("text").alias("i")).select("id", "i.*")
+    return texts(spark, sf_dir).select("id", tx.identifiers("text").alias("i")).select("id", "i.*")
 
 
 @query(f"WITH {_VALUES} SELECT id, nullif(regexp_extract(text, 'https?://[^\\s]+[^\\s.,;)\\]]'), '') AS url FROM v")
 def extract_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", tx.first_url("text").alias("url"))
+    return texts(spark, sf_dir).select("id", tx.first_url("text").alias("url"))
 
 
 @query(rf"WITH {_VALUES} SELECT id, regexp_full_match(text, '10\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9<>]+[^.\]\s]') AND NOT regexp_matches(text, '(?i)cnki|issn') AS is_doi FROM v")
 def is_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", tx.is_doi("text").alias("is_doi"))
+    return texts(spark, sf_dir).select("id", tx.is_doi("text").alias("is_doi"))
 
 
 @query("""WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT -page_id - 1, 'ftp' || url FROM pages UNION ALL SELECT page_id + 1000000, url || ' x' FROM pages)
@@ -144,7 +118,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {_VALUES}, t AS (SELECT id, {_TIGHT} AS t FROM v)
 SELECT id, 2 * (length(t) - length(regexp_replace(t, '[一-龥]', '', 'g'))) > length(t) AS is_chinese FROM t""")
 def is_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", tx.is_chinese("text").alias("is_chinese"))
+    return texts(spark, sf_dir).select("id", tx.is_chinese("text").alias("is_chinese"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 35 THEN left(text, 35) || '…' ELSE text END AS short FROM documents")
@@ -161,7 +135,7 @@ def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, CAST(coalesce(nullif(regexp_extract(t, '^[\[(]?([0-9]{{1,3}})\s*[\].)]\s*[^0-9\s.]', 1), ''),
 nullif(regexp_extract(t, '^[\[(]?([0-9]{{1,3}})\s+[\p{{L}}\[(“"'']', 1), ''), '0') AS INT) AS number FROM t""")
 def num_at_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", tx.list_number("text").alias("number"))
+    return texts(spark, sf_dir).select("id", tx.list_number("text").alias("number"))
 
 
 _CLASSES = " ".join(f"WHEN regexp_matches(t, '{p}') OR regexp_matches(s, '{p}') THEN {i}" for i, p in enumerate(tx.ENTRY_STARTS))
@@ -169,77 +143,21 @@ _CLASSES = " ".join(f"WHEN regexp_matches(t, '{p}') OR regexp_matches(s, '{p}')
 
 @query(rf"""WITH {_VALUES}, t AS (SELECT id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, {_TIGHT} AS s FROM v) SELECT id, CAST(CASE {_CLASSES} ELSE -1 END AS INT) AS class FROM t""")
 def ref_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", tx.entry_class("text").alias("class"))
+    return texts(spark, sf_dir).select("id", tx.entry_class("text").alias("class"))
 
 
 @query(rf"""WITH {_VALUES}, t AS (SELECT id, text, {_TIGHT} AS t FROM v)
 SELECT id, regexp_matches(t, '(?i)参考文献|reference|bibliography') AND length(t) < 20 AND NOT regexp_matches(t, '(?i)references?\(?[0-9]') AS heading,
 regexp_matches(text, '{tx.TRAILING.replace(chr(39), chr(39) * 2)}') AS trailing FROM t""")
 def heading_and_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", tx.is_heading("text").alias("heading"), tx.is_trailing("text").alias("trailing"))
+    return texts(spark, sf_dir).select("id", tx.is_heading("text").alias("heading"), tx.is_trailing("text").alias("trailing"))
 
 
 @query()
 def parse_ref_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", tx.parse_reference("text", 2026).alias("p")).select("id", "p.*")
-
-
-# The same over the whole texts of documents and pages instead of the samples.
-
-
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text): documents, and pages with negative ids."""
-    p = read(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("html").alias("text"))
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(p)
-
-
-def _of_texts(name: str) -> str:
-    return ORACLE_SQL[name].replace(_VALUES, "v AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, html FROM pages)")
-
-
-@query(_of_texts("extract_identifiers"))
-def extract_identifiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", tx.identifiers("text").alias("i")).select("id", "i.*")
-
-
-@query(_of_texts("extract_url"))
-def extract_url_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", tx.first_url("text").alias("url"))
-
-
-@query(_of_texts("is_doi"))
-def is_doi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", tx.is_doi("text").alias("is_doi"))
-
-
-@query(_of_texts("is_chinese"))
-def is_chinese_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", tx.is_chinese("text").alias("is_chinese"))
-
-
-@query(_of_texts("num_at_start"))
-def num_at_start_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", tx.list_number("text").alias("number"))
-
-
-@query(_of_texts("ref_type"))
-def ref_type_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", tx.entry_class("text").alias("class"))
-
-
-@query(_of_texts("heading_and_trailing"))
-def heading_and_trailing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", tx.is_heading("text").alias("heading"), tx.is_trailing("text").alias("trailing"))
-
-
-def parse_ref_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("id", tx.parse_reference("text", 2026).alias("p")).select("id", "p.*")
 
 
-#: Queries over whole texts that SQL can't express.
-WITHOUT_SQL = {"parse_ref_text_all": parse_ref_text_all}
-
-
 @query("""SELECT o_orderkey AS id, CAST(year(o_orderdate) AS VARCHAR) AS year, strftime(o_orderdate, '%b %Y') AS shown FROM orders""")
 def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -358,10 +276,14 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.records(spark)
 
 
-@query()
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+p AS (SELECT *, (i - 1) // 12 AS page, count(*) OVER (PARTITION BY o_custkey, (i - 1) // 12) AS n FROM o),
+e AS (SELECT *, translate(CAST(o_orderkey AS VARCHAR), '0123456789', 'abcdefghij') AS name FROM p WHERE page = 0 OR n >= 2)
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(i AS BIGINT) AS number, 'Smith K, Lee P. A study of ' || name || ' with many results of ' || name || '. Journal of Orders ' || year(o_orderdate) || '; 12: 1-9. doi:10.1000/' || name AS text,
+'10.1000/' || name AS doi, 'https://doi.org/10.1000/' || name AS url, CAST(page + 1 AS INT) AS page FROM e""")
 def pdf_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of made-up pages, whose lines are the documents' sentences with list numbers in front."""
+    """References of made-up pages: those of each customer are its orders; a page goes on with the list if it has two of them."""
     from citespark.operators.layout import bibliography
-    from citespark.sources.samples import pdf_items
+    from citespark.sources.samples import order_pages
 
-    return bibliography(pdf_items(read(spark, sf_dir, "documents")))
+    return bibliography(order_pages(read(spark, sf_dir, "orders"))).select("doc_id", "number", "text", "doi", "url", "page")

@@ -53,15 +53,21 @@ def records(spark: SparkSession) -> DataFrame:
     return reduce(DataFrame.unionByName, (f.where("title is not null") for f in found))
 
 
-def pdf_items(documents: DataFrame) -> DataFrame:
-    """Text runs of one page a document with more than three lines: a heading, and the first words of its lines as
-    numbered entries with a year."""
-    lines = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''")
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    lines = lines.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where("n > 3")
-    text = F.concat(F.col("i").cast("string"), F.lit(". "), F.initcap(F.substring("line", 1, 60)), F.lit(", 20"), F.lpad((F.col("i") % 25).cast("string"), 2, "0"), F.lit("."))
-    entries = lines.select("doc_id", "i", text.alias("str"))
-    heads = lines.where("i = 1").select("doc_id", F.lit(0).alias("i"), F.lit("References").alias("str"))
-    both = heads.unionByName(entries)
-    number = F.lit(None).cast("string")
-    return both.select("doc_id", F.lit(0).alias("page"), F.col("i").alias("seq"), "str", F.lit(60.0).alias("x"), (700.0 - 12 * F.col("i")).alias("y"), (5.0 * F.length("str")).alias("width"), F.lit(9.0).alias("height"), number.alias("url"))
+def order_pages(orders: DataFrame) -> DataFrame:
+    """Text runs of a document a customer: a page of prose, a heading, and three lines an order, numbered from 1, twelve
+    orders a page; a word is hyphenated between the first two lines."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = orders.select("o_custkey", "o_orderkey", F.year("o_orderdate").cast("string").alias("year"), F.row_number().over(w).alias("i"))
+    name = F.translate(F.col("o_orderkey").cast("string"), "0123456789", "abcdefghij")
+    first = F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] Smith K, Lee P. A study of "), name, F.lit(" with many re-"))
+    second = F.concat(F.lit("sults of "), name, F.lit(". Journal of Orders"))
+    third = F.concat("year", F.lit("; 12: 1-9. doi:10.1000/"), name)
+    at = (F.col("i") - 1) % 12
+    lines = o.select("o_custkey", (F.floor((F.col("i") - 1) / 12) + 1).alias("page"), F.posexplode(F.array(first, second, third)).alias("line", "str"), at.alias("at"))
+    lines = lines.select("o_custkey", "page", (3 * F.col("at") + F.col("line") + 2).alias("seq"), "str", F.when(F.col("line") == 0, 60.0).otherwise(80.0).alias("x"))
+    own = o.where("i = 1")
+    heads = own.select("o_custkey", F.lit(1).alias("page"), F.lit(1).alias("seq"), F.lit("References").alias("str"), F.lit(60.0).alias("x"))
+    prose = own.select("o_custkey", F.lit(0).alias("page"), F.posexplode(F.array(*(F.lit(f"{a} are what this page is about, and {b} too, at some length") for a, b in (("Orders", "parts"), ("Lines", "sums"), ("Prices", "dates"), ("Names", "keys"))))).alias("seq", "str"))
+    prose = prose.withColumn("x", F.lit(60.0))
+    every = lines.unionByName(heads).unionByName(prose.select("o_custkey", "page", "seq", "str", "x"))
+    return every.select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"), "seq", "str", "x", (760.0 - 14 * F.col("seq")).alias("y"), (5.0 * F.length("str")).alias("width"), F.lit(9.0).alias("height"), F.lit(None).cast("string").alias("url"))

@@ -7,7 +7,7 @@ from compare import rows
 
 from citespark.plans import queries
 
-WITHOUT_SQL = {"parse_ref_text", "source_records", "pdf_bibliography"}
+WITHOUT_SQL = {"parse_ref_text", "source_records"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
