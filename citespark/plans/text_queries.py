@@ -277,12 +277,12 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
-p AS (SELECT *, (i - 1) // 12 AS page, count(*) OVER (PARTITION BY o_custkey, (i - 1) // 12) AS n FROM o),
-e AS (SELECT *, translate(CAST(o_orderkey AS VARCHAR), '0123456789', 'abcdefghij') AS name FROM p WHERE page = 0 OR n >= 2)
-SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(i AS BIGINT) AS number, 'Smith K, Lee P. A study of ' || name || ' with many results of ' || name || '. Journal of Orders ' || year(o_orderdate) || '; 12: 1-9. doi:10.1000/' || name AS text,
-'10.1000/' || name AS doi, 'https://doi.org/10.1000/' || name AS url, CAST(page + 1 AS INT) AS page FROM e""")
+p AS (SELECT *, (i - 1) // 12 AS page FROM o),
+e AS (SELECT *, translate(CAST(o_orderkey AS VARCHAR), '0123456789', 'abcdefghij') AS name FROM p)
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(i AS BIGINT) AS number, 'Smith K, Lee P. A study of ' || name || ' with many results of ' || name || '. Journal of Orders ' || year(o_orderdate) || '; 12: 1-9. doi:10.1000/o' || name AS text,
+'10.1000/o' || name AS doi, 'https://doi.org/10.1000/o' || name AS url, CAST(page + 1 AS INT) AS page FROM e""")
 def pdf_bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of made-up pages: those of each customer are its orders; a page goes on with the list if it has two of them."""
+    """References of made-up pages: those of each customer are its orders."""
     from citespark.operators.layout import bibliography
     from citespark.sources.samples import order_pages
 

@@ -61,7 +61,7 @@ def order_pages(orders: DataFrame) -> DataFrame:
     name = F.translate(F.col("o_orderkey").cast("string"), "0123456789", "abcdefghij")
     first = F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] Smith K, Lee P. A study of "), name, F.lit(" with many re-"))
     second = F.concat(F.lit("sults of "), name, F.lit(". Journal of Orders"))
-    third = F.concat("year", F.lit("; 12: 1-9. doi:10.1000/"), name)
+    third = F.concat("year", F.lit("; 12: 1-9. doi:10.1000/o"), name)
     at = (F.col("i") - 1) % 12
     lines = o.select("o_custkey", (F.floor((F.col("i") - 1) / 12) + 1).alias("page"), F.posexplode(F.array(first, second, third)).alias("line", "str"), at.alias("at"))
     lines = lines.select("o_custkey", "page", (3 * F.col("at") + F.col("line") + 2).alias("seq"), "str", F.when(F.col("line") == 0, 60.0).otherwise(80.0).alias("x"))
