@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citespark.llm.common import qualified, shared_folder
+
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of archive that one reading task owns, and that are read at a time.
 RANGE, READ = 8 << 20, 1 << 20
@@ -51,13 +53,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parse(raw: bytes) -> tuple | None:
-    """The columns of a reading, or None for a record that is neither a response nor a revisit."""
+    """The columns of a reading, or None for a record that is neither a response nor a revisit, or says no length."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
     kind = fields.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    block = rest[: int(fields.get("content-length", 0))]
+    length = fields.get("content-length", "0")
+    if not re.fullmatch(r"[0-9]{1,18}", length):
+        return None
+    block = rest[: int(length)]
     http, _, body = block.partition(b"\r\n\r\n")
     size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
     number = lambda name: int(m[1]) if (m := re.search(r"urn:page:(-?\d+)>", fields.get(name, ""))) else None
@@ -105,39 +110,43 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     first = own.where(F.length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = own.join(first, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     rows = rows.select("page_id", "url", "payload", "digest", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit")
-    return rows.mapInArrow(_write(folder), "path string, bytes long, records long")
+    return rows.mapInArrow(_write(qualified(pages.sparkSession, folder)), "path string, bytes long, records long")
 
 
 def members(f, start: int, end: int, read: int = READ):
     """Decompressed gzip members of WARC records that start in bytes start to end of a seekable file.
 
     Candidates are found by the gzip magic; one whose first bytes do not decompress to a WARC header is none. After a
-    record the next one is taken to start where it ends, else the search goes on from there."""
-    at, buf = start, b""
+    record the next one is taken to start where it ends. A candidate that was searched for, not reached in that way, must
+    itself be followed by another member or the end of the file, which a record inside a stored payload is not."""
+    at, buf, pos = start, b"", 0  # buf[pos] is byte `at` of the file
     f.seek(start)
 
     def fill() -> bool:
-        nonlocal buf
+        nonlocal buf, pos
         got = f.read(read)
-        buf += got
+        buf, pos = buf[pos:] + got, 0
         return bool(got)
 
+    chained = start == 0
     while at < end:
-        while (k := buf.find(MAGIC)) < 0:
-            cut = max(0, len(buf) - 2)
-            at, buf = at + cut, buf[cut:]
+        while (k := buf.find(MAGIC, pos)) < 0:
+            cut = max(pos, len(buf) - 2)
+            at, pos = at + cut - pos, cut
             if at >= end or not fill():
                 return
-        at, buf = at + k, buf[k:]
+        chained &= k == pos
+        at, pos = at + k - pos, k
         if at >= end:
             return
-        z, out, done, head = zlib.decompressobj(31), [], 0, b""
+        z, out, done, head, step = zlib.decompressobj(31), [], 0, b"", 4096
         try:
             while not z.eof:
-                if done == len(buf) and not fill():
+                if pos + done == len(buf) and not fill():
                     break
-                out.append(z.decompress(buf[done:]))
-                done = len(buf)
+                part = buf[pos + done : pos + done + step]
+                out.append(z.decompress(part))
+                done, step = done + len(part), min(2 * step, 1 << 16)
                 if len(head) < 7:
                     head += out[-1][:7]
                     if not b"WARC/1.".startswith(head[:7]):
@@ -145,12 +154,16 @@ def members(f, start: int, end: int, read: int = READ):
             good = z.eof and head.startswith(b"WARC/1.")
         except zlib.error:
             good = False
+        size = done - len(z.unused_data)
+        if good and not chained:
+            while len(buf) - pos - size < 3 and fill():
+                pass
+            good = MAGIC.startswith(buf[pos + size : pos + size + 3])
         if good:
             yield b"".join(out)
-            step = len(buf) - len(z.unused_data)
-        else:
-            step = 1
-        at, buf = at + step, buf[step:]
+        chained = good
+        step = size if good else 1
+        at, pos = at + step, pos + step
 
 
 def _read(folder: str):
@@ -182,10 +195,8 @@ def read_warc(archives: DataFrame, folder: str, range_bytes: int = RANGE) -> Dat
     ranges = archives.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", (F.col("start") + range_bytes).alias("end"))
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(n, "path", "start").mapInArrow(_read(folder), _READ_T)
+    return ranges.repartition(n, "path", "start").mapInArrow(_read(qualified(archives.sparkSession, folder)), _READ_T)
 
 
 def folder_for(spark: SparkSession) -> str:
-    from citespark.llm.common import shared_folder
-
     return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"

@@ -63,3 +63,37 @@ def test_every_range_owns_its_records():
     for step in (1, 7, 64, 500, len(data)):
         got = [warc.parse(x)[1] for a in range(0, len(data), step) for x in warc.members(io.BytesIO(data), a, a + step, 50)]
         assert got == list(range(12))
+
+
+def stored(payload: bytes) -> bytes:
+    """A record as a gzip member that isn't compressed, so that its payload's bytes stand in the file."""
+    import zlib
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: " + str(len(block)).encode()
+    c = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return c.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n") + c.flush()
+
+
+def test_record_inside_a_stored_payload_is_none():
+    inner = warc.record(99, "u", b"inner", "d", None, False)
+    data = stored(b"x" * 200 + inner + b"y" * 200) + warc.record(2, "u", b"z" * 300, "d", None, False)
+    for step in (40, 50, 333, len(data)):
+        got = [warc.parse(x)[1] for a in range(0, len(data), step) for x in warc.members(io.BytesIO(data), a, a + step, 64)]
+        assert got == [1, 2]
+
+
+def test_record_without_a_length_is_none():
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: %s\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody"
+    for bad in (b"many", b"-5", b"", b"1e3"):
+        assert warc.parse(head % bad) is None
+    assert warc.parse(head % b"23")[1] == 1
+
+
+def test_folders_without_a_scheme(spark, tmp_path):
+    """A path is the same place for Spark and for the writing and reading tasks, whether it names its scheme or not."""
+    pages = spark.createDataFrame([(1, "u", "<p>one</p>")], "page_id long, url string, html string")
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/full"):
+        archives = materialize(warc.write_warc(pages, folder), "archives")
+        assert [x.page_id for x in warc.read_warc(archives, folder).collect()] == [1]
+        assert spark.read.format("binaryFile").load(f"{folder}/*.warc.gz").count() == 1
