@@ -50,7 +50,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The language model, the sketches and the packing aren't expressible in SQL; the tests hold run() against plain Python.
+#: The language model, the sketches and the packing aren't expressible in SQL. The tests hold each stage against what the
+#: operator reports of the stage's own input, and the operators against plain Python.
 ORACLE_SQL = None
 
 
