@@ -87,6 +87,21 @@ def ascii_lower(text: Column) -> Column:
 # ---------------------------------------------------------------- numpy
 
 
+@functools.cache
+def one_thread() -> None:
+    """Keeps numpy's matrix products to one thread, since every core has a task of its own; where the library has no such
+    switch, they stay as they are."""
+    import ctypes
+    import glob
+    import os
+
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose outputs look random."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
