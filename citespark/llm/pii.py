@@ -320,20 +320,21 @@ class Tagger:
                     self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-6)).astype(np.float32)
         return loss
 
-    def gain(self) -> np.ndarray:
-        """For each tag but O the most that a path can gain in transitions by that tag in O's place; a character at which O
-        leads all tags by more is O in every best path."""
-        t = self.p["T"]
-        return (t - t[:, :1]).max(0) + (t - t[:1]).max(1)
-
-    def hopeless(self, e: np.ndarray) -> bool:
-        """Whether no path through the scores e can be better than O all along: of every run of other tags the best scores
-        and transitions are worth less than O's."""
-        t = self.p["T"]
-        lead = e[:, 1:].max(1) - e[:, 0] + (inside := t[1:, 1:].max() - t[0, 0])
-        sums = np.concatenate([[0], np.cumsum(lead, dtype=np.float64)])
-        ends = max(0.0, float(t[0, 1:].max() - t[0, 0])) + max(0.0, float(t[1:, 0].max() - t[0, 0]))
-        return bool((sums[1:] - np.minimum.accumulate(sums)[:-1]).max() - inside + ends < 0)
+    def undecided(self, lead: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which characters may be of another tag than O in a best path, from the lead of each one's best other tag over O.
+
+        A run of other tags is worth no more than its leads, the best transition between others, and the best ones from and
+        to O. A best path has no run worth less than O's, so that a character in no run of at least that bound is O; the best
+        bound of the runs through a character comes from running sums. first and last are places where texts begin and
+        end, which need no transition from or to O."""
+        t = self.p["T"].astype(np.float64)
+        stay, enter, leave = t[1:, 1:].max() - t[0, 0], t[0, 1:].max() - t[0, 0], t[1:, 0].max() - t[0, 0]
+        worth = lead + stay
+        worth[first] -= min(enter, 0)
+        worth[last] -= min(leave, 0)
+        sums = np.concatenate([[0], np.cumsum(worth)])
+        most = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+        return most >= stay - enter - leave - 1e-3
 
     def viterbi(self, e: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Best tags of padded rows of scores; what is past a row's length is O. first and last say whether a row begins or
@@ -402,65 +403,84 @@ def trained_on(labelled: DataFrame, most: int = MOST_LABELLED, seed: int = 21) -
 # ---------------------------------------------------------------- texts to spans
 
 
-class _Stretches:
-    """Undecided stretches of texts, as they come window by window: (text, start, scores, begins the text, ends it)."""
+#: Lead of the place between two texts, which no run crosses.
+_APART = -1e5
 
-    def __init__(self, tagger: Tagger):
-        self.hopeless = tagger.hopeless
+
+def _cut(start: int, lead: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of an undecided stretch; one of over LONGEST characters is cut where O leads most."""
+    out, at = [], 0
+    while len(lead) - at > LONGEST:
+        where = at + LONGEST // 2 + int(lead[at + LONGEST // 2 : at + LONGEST].argmin())
+        out.append((start + at, start + where))
+        at = where + 1
+    return [*out, (start + at, start + len(lead))]
+
+
+class _Batch:
+    """Undecided stretches of the windows scored so far. Of a text that goes on the last characters, from one where O leads
+    most, are kept for the next windows."""
+
+    def __init__(self, tagger: Tagger, sizes: list[int]):
+        self.tagger, self.sizes = tagger, sizes
         self.ready: list[tuple[int, int, np.ndarray, bool, bool]] = []
-        self.open: list[np.ndarray] = []
-        self.text = self.start = self.size = 0
-
-    def close(self, ends: bool) -> None:
-        if self.open:
-            scores = np.concatenate(self.open)
-            if not self.hopeless(scores):
-                self.ready.append((self.text, self.start, scores, self.start == 0, ends))
-            self.open, self.size = [], 0
-
-    def add(self, text: int, start: int, scores: np.ndarray, unsure: np.ndarray, ends: bool) -> None:
-        """Scores of the characters from start on, which follow those of the call before, or begin another text."""
-        if self.open and (text != self.text or not unsure[0]):
-            self.close(False)
+        self.kept: tuple[int, int, np.ndarray] | None = None
+
+    def add(self, e: np.ndarray, jobs: list[tuple[int, int, int, int]]) -> None:
+        """Scores (character, tag, window) of windows (text, start, first own character, end of the own ones)."""
+        lead = e[:, 1].copy()
+        for k in range(2, _N_TAGS):
+            np.maximum(lead, e[:, k], out=lead)
+        lead = np.ascontiguousarray((lead - e[:, 0]).T)
+        # flat: the kept characters, then each window's own ones, with a place before every text
+        flat, where, texts = [], [], []  # leads; window and character of each; (text, its start in flat, start in the text)
+        size, text = 0, -1
+        if self.kept:
+            text, start, scores = self.kept
+            flat, where, size = [scores[:, 1:].max(1) - scores[:, 0]], [np.full(len(scores), -1)], len(scores)
+            texts.append((text, 0, start))
+        for j, (i, at, a, b) in enumerate(jobs):
+            if i != text:
+                flat.append(np.float32([_APART]))
+                where.append(np.int64([-1]))
+                size, text = size + 1, i
+                texts.append((i, size, at + a))
+            flat.append(lead[j, a:b])
+            where.append(np.arange(j * WINDOW + a, j * WINDOW + b))
+            size += b - a
+        flat, where = np.concatenate(flat).astype(np.float64), np.concatenate(where)
+        starts = np.array([t[1] for t in texts])
+        ends = np.append(starts[1:] - 1, size)
+        begins = np.array([t[2] == 0 for t in texts])
+        whole = np.array([t[2] + z - a == self.sizes[t[0]] for t, a, z in zip(texts, starts, ends)])
+
+        def scores(a: int, b: int) -> np.ndarray:
+            w = where[a:b]
+            out = e[w % WINDOW, :, w // WINDOW]
+            if self.kept and a < len(self.kept[2]):
+                out[w < 0] = self.kept[2][a:b]
+            return out
+
+        new, stop = None, size
+        if not whole[-1]:  # the last text goes on
+            a = max(int(starts[-1]), size - LONGEST)
+            stop = a + int(flat[a : a + max((size - a) // 2, 1)].argmin())
+            new = (text, texts[-1][2] + stop + 1 - int(starts[-1]), scores(stop + 1, size))
+        unsure = self.tagger.undecided(flat[:stop], starts[begins & (starts < stop)], ends[whole] - 1)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], unsure.view(np.int8), [0]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if not self.open:
-                self.text, self.start = text, start + a
-            self.open.append(scores[a:b].copy())
-            self.size += b - a
-            last = b == len(unsure)
-            while self.size > LONGEST:
-                self.cut()
-            if not last or ends:
-                self.close(last and ends)
-
-    def cut(self) -> None:
-        scores = np.concatenate(self.open)
-        lead = scores[LONGEST // 2 : LONGEST, 0] - scores[LONGEST // 2 : LONGEST, 1:].max(1)
-        at, begin = LONGEST // 2 + int(lead.argmax()), self.start
-        self.open = [scores[:at]]
-        self.close(False)
-        self.open, self.start, self.size = [scores[at + 1 :]], begin + at + 1, len(scores) - at - 1
+            t = int(np.searchsorted(starts, a, "right")) - 1
+            shift = texts[t][2] - int(starts[t])
+            for x, y in _cut(a, flat[a:b]):
+                if y > x:
+                    self.ready.append((texts[t][0], x + shift, scores(x, y), x + shift == 0, y + shift == self.sizes[texts[t][0]]))
+        self.kept = new
 
 
 def tag_texts(tagger: Tagger, texts: list[str]):
     """(text, start, tags) of the stretches of all texts that aren't certainly O, in no fixed order."""
-    gain, edge = tagger.gain(), (WINDOW - STRIDE) // 2
-    held, codes = _Stretches(tagger), np.zeros((BATCH, WINDOW), np.int16)
-    jobs: list[tuple[int, int, int, int]] = []
-
-    def score():
-        e = tagger.scores(codes[: len(jobs)])
-        other = e[:, 1] + gain[1]
-        for k in range(2, _N_TAGS):
-            np.maximum(other, e[:, k] + gain[k], out=other)
-        unsure = np.ascontiguousarray((other >= e[:, 0]).T)
-        for j, (i, at, a, b) in enumerate(jobs):
-            if held.open or unsure[j, a:b].any():
-                held.add(i, at + a, e[a:b, :, j], unsure[j, a:b], at + b == sizes[i])
-        jobs.clear()
-
-    sizes = [len(t) for t in texts]
+    edge, codes = (WINDOW - STRIDE) // 2, np.zeros((BATCH, WINDOW), np.int16)
+    held, jobs = _Batch(tagger, [len(t) for t in texts]), []
     for i, t in enumerate(texts):
         own = char_classes(t)
         for at in range(0, max(len(own) - (WINDOW - STRIDE), 1) if len(own) else 0, STRIDE):
@@ -468,16 +488,16 @@ def tag_texts(tagger: Tagger, texts: list[str]):
             codes[len(jobs), : len(part)], codes[len(jobs), len(part) :] = part, 0
             jobs.append((i, at, edge if at else 0, len(part) if at + WINDOW >= len(own) else WINDOW - edge))
             if len(jobs) == BATCH:
-                score()
+                held.add(tagger.scores(codes), jobs)
+                jobs.clear()
                 if len(held.ready) > 2000:
                     yield from _decoded(tagger, held)
     if jobs:
-        score()
-    held.close(False)
+        held.add(tagger.scores(codes[: len(jobs)]), jobs)
     yield from _decoded(tagger, held)
 
 
-def _decoded(tagger: Tagger, held: _Stretches):
+def _decoded(tagger: Tagger, held: _Batch):
     some, held.ready = sorted(held.ready, key=lambda s: len(s[2])), []
     at = 0
     while at < len(some):

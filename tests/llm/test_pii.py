@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from citespark.llm.pii import KINDS, TAGGED, WINDOW, Tagger, _digits, base_spans, char_classes, find_all, labelled_text, luhn, personal_data, spans_of, tag_texts, trained, trained_on, training_windows
+from citespark.llm.pii import KINDS, STRIDE, TAGGED, WINDOW, Tagger, _digits, base_spans, char_classes, find_all, labelled_text, luhn, personal_data, spans_of, tag_texts, trained, trained_on, training_windows
 from citespark.llm.queries import QUERIES
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -167,3 +167,22 @@ def test_awkward_rows(awkward, no_docs):
     got = personal_data(awkward).collect()
     assert len(got) == awkward.count() and all(r.spans == "" for r in got if r.doc_id in (2, 3, 4, 7, 8))
     assert personal_data(no_docs).count() == 0
+
+
+def test_long_texts_give_the_best_path():
+    """Texts of many windows: the spans of one pass over the joined scores of their windows."""
+    m, r = trained(), random.Random(11)
+    texts = [" ".join(labelled_text(r)[0] for _ in range(r.randrange(1, 9))) for _ in range(25)] + ["", "x"]
+    got: dict = {}
+    for i, start, tags in tag_texts(m, texts):
+        got.setdefault(i, []).extend(spans_of(tags, start))
+    edge = (WINDOW - STRIDE) // 2
+    for i, text in enumerate(texts):
+        own, e = char_classes(text), []
+        for at in range(0, max(len(own) - 2 * edge, 1) if len(own) else 0, STRIDE):
+            codes = np.zeros((1, WINDOW), np.int16)
+            codes[0, : len(own[at : at + WINDOW])] = own[at : at + WINDOW]
+            ends = len(own) - at if at + WINDOW >= len(own) else WINDOW - edge
+            e.extend(m.emissions(codes)[0, edge if at else 0 : ends])
+        want = spans_of(np.array(best_path(m, np.array(e))), 0) if e else []
+        assert len(e) == len(text) and sorted(got.get(i, [])) == sorted(want)
