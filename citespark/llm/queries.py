@@ -72,7 +72,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citespark.llm.pii import personal_data
 
     found = personal_data(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", (F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_added")).alias("n_spans"), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

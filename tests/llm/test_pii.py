@@ -186,3 +186,8 @@ def test_long_texts_give_the_best_path():
             e.extend(m.emissions(codes)[0, edge if at else 0 : ends])
         want = spans_of(np.array(best_path(m, np.array(e))), 0) if e else []
         assert len(e) == len(text) and sorted(got.get(i, [])) == sorted(want)
+
+
+def test_repeated_words_are_no_addresses():
+    text = "Edble. " * 30 + "of " * 40 + "dieverbepf, " * 9
+    assert find_all(trained(), [text]) == [([], [])]
