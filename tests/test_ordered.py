@@ -93,6 +93,7 @@ def run_one_size(spark, d, name):
 ONE_SIZE = {
     "graph_edges": lambda o, n, most: o == 40_000 and n > 1_959_700 and 49 < most <= 249,
     "edge_force_params": lambda o, n, most: o == 40_000 and n > 1_959_700 and 49 < most <= 249,
+    "graph_recentre": lambda o, n, most: o >= 1 and 26 * o <= n <= 50 * o,
 }
 
 
