@@ -92,6 +92,7 @@ def run_one_size(spark, d, name):
 #: Of all origins' rows, what must hold for (origins, rows, most rows of an origin). The last 24 origins have few later works.
 ONE_SIZE = {
     "graph_edges": lambda o, n, most: o == 40_000 and n > 1_959_700 and 49 < most <= 249,
+    "graph_nodes_multi_origin": lambda o, n, most: (o, n, most) == (40_000, 1_999_700, 50),
     "edge_force_params": lambda o, n, most: o == 40_000 and n > 1_959_700 and 49 < most <= 249,
     "graph_recentre": lambda o, n, most: o >= 1 and 26 * o <= n <= 50 * o,
 }
