@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from citespark.llm.packing import Tokens, Windows, pack, pack_documents
+from citespark.llm.packing import Tokens, Windows, pack, pack_documents, pack_ids
 from citespark.llm.queries import QUERIES, tokenizer_path
 
 
@@ -90,3 +90,25 @@ def test_windows_find_the_tightest():
             assert (got[0] if got else None) == best
             if best:
                 have.remove(best)
+
+
+def test_new_words_are_encoded_in_few_texts():
+    """Words that are encoded together have the ids that each has alone, whatever characters they have."""
+    t = Tokens(tokenizer_path())
+    own, seen = t.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return own.encode_batch_fast(texts, **more)
+
+    t.tokenizer = Counting()
+    r = random.Random(5)
+    chars = [chr(i) for i in range(33, 0x250)] + list("\'\'\'\'ssttmdl<|>İßſẞΣς\u0338\u0301…")
+    words = ["".join(r.choices(chars, k=r.randint(1, 9))) for _ in range(20_000)] + ["<|endoftext|>", "a<|startoftext|>b", "\u0301a"]
+    words = [w for w in words if w.encode().split() == [w.encode()]]
+    marked = ["\x01", "a\x01b", "\x01\x01", "c"]
+    for some, most in ((words, len(words) / 100), (marked, len(marked))):
+        seen.clear()
+        assert t.encode([w.encode() for w in some]) == [pack_ids(e.ids) for e in own.encode_batch_fast(some, add_special_tokens=False)]
+        assert len(seen) <= most
