@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citespark.llm.common import batch, distinct_by_text, materialize, mix, runs, shingles, whole_rows, word_hashes, words
@@ -27,6 +27,8 @@ COORDINATES, MISS = 128, 1e-7
 #: A bucket of up to so many sets is compared pair by pair. The sets of larger ones are dealt into blocks of about so many
 #: sets and shingles, and the blocks that meet in a bucket are compared with each other. Both ways find the same classes.
 SMALL, BLOCK, BLOCK_SHINGLES = 24, 96, 400_000
+#: Meetings of a block that are dealt together.
+TURN = 16
 #: Classes of at least so many rows, and of one row in HOT_SHARE, are joined by broadcast; so there are HOT_SHARE at most.
 HOT_ROWS, HOT_SHARE = 1000, 10_000
 
@@ -195,6 +197,19 @@ def _alone(blocks: DataFrame) -> DataFrame:
     return blocks.select("r", F.lit(None).cast("array<long>").alias("r2"), "s", F.lit(None).cast("array<array<long>>").alias("s2"))
 
 
+def _meetings(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(r, r2, s, s2): the members and sets of both blocks of pairs(block, block2).
+
+    A block that meets many others is there once for each TURN of them, so that no task gets all of its meetings, and so
+    that sets needn't be dealt anew one by one where adaptive execution takes such a block for skew."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = pairs.withColumn("turn", F.floor((F.row_number().over(Window.partitionBy("block2").orderBy("block")) - 1) / TURN))
+    second = blocks.select(F.col("block").alias("block2"), F.col("r").alias("r2"), F.col("s").alias("s2"))
+    second = turns.select("block2", "turn").distinct().join(second, "block2")
+    first = turns.join(blocks, "block").repartition(n, "block2", "turn")
+    return first.join(second, ["block2", "turn"]).select("r", "r2", "s", "s2")
+
+
 def _large_buckets(large: DataFrame, sets: DataFrame, percent: int, links: DataFrame) -> DataFrame:
     """Links that with `links` hold the classes together that large(band, h, rep, n, size) gives candidates for.
 
@@ -226,7 +241,7 @@ def _large_buckets(large: DataFrame, sets: DataFrame, percent: int, links: DataF
     pairs = other.select("band", "h", "block", "pure").join(met.select("band", "h", F.col("block").alias("block2"), F.col("pure").alias("pure2")), ["band", "h"])
     pairs = pairs.where("block <> block2 and (pure is null or pure2 is null or pure <> pure2)")
     pairs = pairs.select(F.least("block", "block2").alias("block"), F.greatest("block", "block2").alias("block2")).distinct()
-    two = pairs.join(blocks, "block").join(blocks.select(F.col("block").alias("block2"), F.col("r").alias("r2"), F.col("s").alias("s2")), "block2").select("r", "r2", "s", "s2")
+    two = _meetings(pairs, blocks)
     mixed = placed.where("pure is null").select("block").distinct()
     one = _alone(blocks.join(mixed, "block", "left_semi"))
     between = one.unionByName(two).mapInArrow(_blocks(percent), "a long, b long")

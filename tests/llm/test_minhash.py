@@ -176,3 +176,27 @@ def test_components_of_paths_and_stars(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 161)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """No round only shows that the one before changed nothing."""
+    from citespark.llm import components as c
+
+    star, rounds = c._star, []
+    monkeypatch.setattr(c, "_star", lambda edges, large: rounds.append(large) or star(edges, large))
+    path = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(10, 11)], "a long, b long")
+    got = sorted(map(tuple, c.components(path).collect()))
+    assert got == [(i, 0) for i in range(7)] + [(10, 10), (11, 10)]
+    assert sum(rounds) == 3
+
+
+def test_meetings_of_a_block_that_meets_many(spark):
+    """The block's meetings are dealt to several tasks, in few tasks altogether, and none is lost."""
+    from citespark.llm.minhash import _meetings
+
+    blocks = spark.createDataFrame([(i, [i], [[i, i]]) for i in range(200)], "block long, r array<long>, s array<array<long>>")
+    want = {(i, 199) for i in range(199)} | {(3, 7), (3, 8)}
+    got = _meetings(spark.createDataFrame(sorted(want), "block long, block2 long"), blocks)
+    rows = got.collect()
+    assert {(x.r[0], x.r2[0]) for x in rows} == want and len(rows) == len(want)
+    assert all(x.s == [[x.r[0]] * 2] and x.s2 == [[x.r2[0]] * 2] for x in rows)
