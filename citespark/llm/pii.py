@@ -542,7 +542,7 @@ def spans_of(tags: np.ndarray, start: int) -> list[tuple[int, int, int]]:
 def find_all(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """For each text the spans of the fixed patterns and all spans, by kind and start. A span of the tagger is left out if
     it overlaps one of a pattern, since that stays, or if a check shows that it isn't of its kind: a card's number passes Luhn,
-    an address holds an @ or the word at. Outer white space and closing punctuation aren't part of it."""
+    an address holds an @ or the word at. Outer white space, closing punctuation and quotes aren't part of it."""
     known = [sorted(base_spans(t)) if _TRIGGER.search(t) else [] for t in texts]
     taken = [_union([(a, b) for _, a, b in k]) for k in known]
     every = [list(k) for k in known]
@@ -550,7 +550,7 @@ def find_all(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
         for k, s, e in spans_of(tags, start):
             own = texts[i][s:e]
             s += len(own) - len(own.lstrip())
-            e -= len(own) - len(own.rstrip(" .,;\n\t\r"))
+            e -= len(own) - len(own.rstrip(" .,;\"'\n\t\r"))
             before = bisect.bisect_left(taken[i], (e,)) - 1
             if k == 2 and not luhn(_digits(texts[i][s:e])) or k == 0 and not _AT.search(texts[i], s, e):
                 continue

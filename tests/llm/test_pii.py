@@ -207,3 +207,11 @@ def test_scores_are_those_of_training_without_costly_functions(monkeypatch):
     for name in ("tanh", "exp", "exp2", "log"):
         monkeypatch.setattr(np, name, costly)
     assert np.abs(t.emissions(codes) - want).max() < 1e-4
+
+
+def test_closing_quotes_are_no_part_of_a_key(monkeypatch):
+    text = "token = \"9f14a7029c85\" here"
+    a, b = text.index("9"), text.index(" here")
+    tags = np.array([9] + [10] * (b - a - 1))
+    monkeypatch.setattr("citespark.llm.pii.tag_texts", lambda *_: [(0, a, tags)])
+    assert find_all(Tagger(4, 3), [text]) == [([], [(4, a, b - 1)])]
