@@ -307,6 +307,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> Da
     """The rows of docs that near_duplicates keeps, with all their columns. Of rows with one doc_id that of the least text
     stays, null before all; rows with a null doc_id stay."""
     kept = near_duplicates(docs, shingle, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("_other")).distinct()
+    kept = materialize(kept, "kept")
     rows = whole_rows(docs)
     text = F.col("row.text").cast("string")
     own = rows.join(kept, F.col("id") == F.col("_other"), "left_semi").groupBy("id").agg(F.min_by("row", F.struct(text.isNotNull(), text)).alias("row"))

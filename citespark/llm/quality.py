@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from citespark.llm.common import WHITE, materialize, mix, qualified, runs, shingles, whole_rows, word_hashes, words
 
 ORDER, BITS = 5, 12
-#: Models of up to so many rows (16 bytes each) in all are broadcast; else workers read their languages' from the shared folder.
+#: Models of up to so many rows in all are broadcast, of which the driver gets 12 bytes each; else workers read their languages'
+#: from the shared folder.
 BROADCAST_ROWS = 4_000_000
 #: Bands of up to so many languages (three numbers each) are broadcast, so that a common language isn't one task's.
 BROADCAST_LANGUAGES = 100_000
@@ -119,7 +120,8 @@ def _discounted(table: DataFrame, top: bool) -> DataFrame:
 
 def language_models(docs: DataFrame) -> DataFrame:
     """(lang, level, back, key, value): for each level from 1 to ORDER log probabilities by packed n-gram (back false) and
-    log back-off weights by packed context (back true), of all docs (lang, text). Seen 5-grams are those of two texts."""
+    log back-off weights by packed context (back true), of all docs (lang, text). Seen 5-grams are those of two texts. The
+    result only reads written tables: a plan of all levels at once takes the driver much memory."""
     table = materialize(docs.mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
     levels = [table]
     for n in range(ORDER - 1, 0, -1):
@@ -128,7 +130,7 @@ def language_models(docs: DataFrame) -> DataFrame:
     out, lower = None, None
     for n, counted in zip(range(1, ORDER + 1), reversed(levels)):
         cut = _discounted(counted, n == ORDER).withColumn("c", F.shiftright("g", BITS))
-        context = cut.groupBy("lang", "c").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("w"))
+        context = materialize(cut.groupBy("lang", "c").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("w")), "contexts")
         seen = cut.where("n > 1") if n == ORDER else cut
         p = seen.join(context, ["lang", "c"])
         if n == 1:
@@ -164,6 +166,38 @@ def arrays(table: pa.Table) -> dict[str, Model]:
     return out
 
 
+_PACKED = pa.schema([("lang", pa.string()), ("level", pa.int32()), ("back", pa.bool_()), ("key", pa.binary()), ("value", pa.binary())])
+
+
+def _pack(batches):
+    """The task's rows of a model table, as one row of arrays for each language, level and kind."""
+    if held := list(batches):
+        got = [(lang, *at, k.tobytes(), v.tobytes()) for lang, m in arrays(pa.Table.from_batches(held)).items() for at, (k, v) in m.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], f.type) for i, f in enumerate(_PACKED)], schema=_PACKED)
+
+
+Pieces = dict[str, dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]]]
+
+
+def _gathered(table: DataFrame) -> Pieces:
+    """The arrays of all tasks, without a copy and without a Python object for each row."""
+    out: Pieces = {}
+    rows = table.mapInArrow(_pack, "lang string, level int, back boolean, key binary, value binary").toArrow()
+    for lang, level, back, key, value in zip(*(rows[c] for c in _PACKED.names)):
+        piece = np.frombuffer(key.as_buffer(), np.int64), np.frombuffer(value.as_buffer(), np.float32)
+        out.setdefault(lang.as_py(), {}).setdefault((level.as_py(), back.as_py()), []).append(piece)
+    return out
+
+
+def _merged(pieces: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]]) -> Model:
+    out = {}
+    for at, parts in pieces.items():
+        key, value = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(key)
+        out[at] = key[order], value[order]
+    return out
+
+
 def _found(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if table is None:
         return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
@@ -185,12 +219,15 @@ def log_probabilities(model: Model, keys: np.ndarray, n: int = ORDER) -> np.ndar
 
 
 class Models:
-    """Models by language: broadcast ones, or read from the table in the shared folder when first asked for."""
+    """Models by language: broadcast ones, whole or in pieces that are merged when first asked for, or else read from the
+    table in the shared folder then."""
 
-    def __init__(self, models: dict[str, Model] | None, path: str, common: list[str]):
-        self.models, self.path, self.common = models, path, common
+    def __init__(self, models: dict[str, Model] | None, path: str, common: list[str], pieces: Pieces | None = None):
+        self.models, self.path, self.common, self.pieces = models, path, common, pieces or {}
 
     def of(self, lang: str) -> Model:
+        if lang in self.pieces:
+            self.models[lang] = _merged(self.pieces.pop(lang))
         return self.models.get(lang, {}) if self.models is not None else _read_model(self.path, lang)
 
 
@@ -275,9 +312,10 @@ def _judged(docs: DataFrame, rows: bool) -> DataFrame:
     common = [r.lang for r in ranked.collect()]
     small = table.count() <= BROADCAST_ROWS
     path = "" if small else qualified(spark, table.inputFiles()[0].rpartition("/")[0])
-    models = spark.sparkContext.broadcast(Models(arrays(table.toArrow()) if small else None, path, common))
+    models = spark.sparkContext.broadcast(Models({} if small else None, path, common, _gathered(table) if small else None))
     kinds = "row_lang string, " + ", ".join(f"{n} long" for n in _STATS) + ", score double, id long" + (f", row {docs.schema.simpleString()}" if rows else "")
     scored = materialize(own.mapInArrow(_score(models), kinds), "scores")
+    models.destroy()
     scored = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     q = scored.where("not base_failed").groupBy("row_lang").agg(F.percentile_approx("score", [0.25, 0.5, 0.75], 10000).alias("q"))
     spread = F.greatest(F.col("q")[2] - F.col("q")[1], F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
