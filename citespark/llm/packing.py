@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents are packed together until they hold so many tokens; this bounds a task's memory.
 GROUP_TOKENS = 16_000_000
-#: Entries of a worker's table from words to ids; a full table is emptied.
+#: Texts are encoded together until they hold so many bytes.
+CHUNK = 4_000_000
+#: Entries of a worker's table from words or pieces to ids; a full table is emptied.
 WORDS = 700_000
 #: New words are encoded in texts of so many, with a word of this control character between them.
 TOGETHER, MARK = 500, "\x01"
+#: What stands after the ids of a word.
+_NO_ID = 0xFFFFFFFF
+_END = _NO_ID.to_bytes(4, "little")
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -28,16 +36,84 @@ def pack_ids(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+#: Characters of words that are taken apart here: letters with one lower-case form that composes with no other letter, digits, signs.
+LETTERS = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and c not in "İŉ")
+_PLAIN = r"!-~" + LETTERS
+_LOWER = "a-z" + LETTERS
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^{_LOWER}0-9\n]+|\n")
+#: What a tokenizer does before its merges, if _PIECES may do it instead.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+class Pieces:
+    """Ids of words of plain characters by the tokenizer's merges alone. Words are put in lower case and taken apart at signs
+    and digits here, many at once, and each piece goes to the tokenizer once, so that forms of a word share their work."""
+
+    def __init__(self, spec: dict):
+        from tokenizers import Tokenizer
+
+        model = spec["model"]
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "CharDelimiterSplit", "delimiter": " "}, _BYTES]}}))
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)  # by id: a piece's last token
+        self.last[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
+        self.other = re.compile("|".join([rf"[^{_PLAIN}\n]", *(re.escape(t["content"]) for t in spec["added_tokens"])])).search
+        self.known: dict[str, bytes] = {"\n": _END}
+
+    @staticmethod
+    def fit(spec: dict) -> bool:
+        """Whether the tokenizer takes texts apart as _PIECES does, and marks the ends of pieces."""
+        model = spec["model"]
+        return (
+            spec.get("normalizer") == _NORMALIZER
+            and spec.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+            and not any(spec.get(k) for k in ("post_processor", "truncation", "padding"))
+            and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+            and model["type"] == "BPE"
+            and bool(model.get("end_of_word_suffix"))
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+        )
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        some = [" ".join(pieces[at : at + TOGETHER]) for at in range(0, len(pieces), TOGETHER)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False) for i in e.ids], "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def ids(self, lines: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, each of which has a line break after it and no other characters; where each word's begin, and
+        how many they are."""
+        pieces = _PIECES.findall(lines.lower())
+        different = set(pieces)
+        new = list(different.difference(self.known))
+        if len(self.known) + len(new) > WORDS:
+            self.known = {"\n": _END}
+            new = list(different.difference(self.known))
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            self.known.update(zip(some, self._encode(some)))
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+        ends = np.flatnonzero(ids == _NO_ID)
+        start = np.concatenate([[0], ends + 1])[:-1]
+        return ids, start, ends - start
+
+
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes. The tokenizer never joins characters across white space, so
-    that each white-space separated word is encoded once and looked up from then on. Many new words are encoded as one text,
-    and told apart by a mark between them: a call for each word takes longer."""
+    that each white-space separated word of the texts is looked up once. Words that Pieces doesn't take are encoded
+    many as one text, and told apart by a mark between them: a call for each word takes longer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.pieces = Pieces(spec) if Pieces.fit(spec) else None
         self.known: dict[bytes, bytes] = {}
         alone = self._one_by_one([MARK])[0]
         self.mark = int.from_bytes(alone, "little") if len(alone) == 4 else None
@@ -57,17 +133,58 @@ class Tokens:
         data, marks = ids.tobytes(), (4 * marks).tolist()
         return [data[a:b] for a, b in zip([0, *(m + 4 for m in marks)], marks)]
 
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words by the whole tokenizer, as Pieces.ids() gives them."""
+        found = [*map(self.known.get, words)]
+        if None in found:
+            new = [w for w, x in zip(words, found) if x is None]
+            if len(self.known) + len(new) > WORDS:
+                self.known.clear()
+                new = words
+            for at in range(0, len(new), 20_000):
+                some = new[at : at + 20_000]
+                self.known.update(zip(some, self._ids(some)))
+            found = [*map(self.known.__getitem__, words)]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n, n
+
+    def _words(self, joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words, each with a line break after it, as Pieces.ids() gives them."""
+        words = joined.split(b"\n")[:-1]
+        if self.pieces is None:
+            return self._whole(words)
+        lines = joined.decode("utf-8", "replace")
+        if not self.pieces.other(lines):
+            return self.pieces.ids(lines)
+        texts = lines.split("\n")[:-1]
+        other = [*map(self.pieces.other, texts)]
+        ids, plain_start, plain_n = self.pieces.ids("".join([t + "\n" for t, x in zip(texts, other) if not x]))
+        more, more_start, more_n = self._whole([w for w, x in zip(words, other) if x])
+        start, n, rest = np.empty(len(words), np.int64), np.empty(len(words), np.int64), np.array(other, bool)
+        start[~rest], n[~rest] = plain_start, plain_n
+        start[rest], n[rest] = len(ids) + more_start, more_n
+        return np.concatenate([ids, more]), start, n
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        new = list(set().union(*parts).difference(self.known)) if parts else []
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = list(set().union(*parts))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update(zip(some, self._ids(some)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return self.encode_array(pa.array(texts, pa.binary()))
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a string or binary array; null has none."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        plain = pa.Array.from_buffers(pa.large_utf8(), len(texts), texts.buffers(), offset=texts.offset)  # split as bytes, nothing is decoded
+        parts = pc.ascii_split_whitespace(plain)
+        words = parts.flatten().dictionary_encode()
+        if not len(words):
+            return [b""] * len(texts)
+        different = words.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different), pa.scalar("\n", different.type))[0].as_buffer().to_pybytes() + b"\n"
+        ids, start, n = self._words(joined)
+        word = words.indices.to_numpy()
+        n = n[word]
+        ends = np.concatenate([[0], np.cumsum(n)])  # by word: its first id among those of all texts
+        data = ids[np.repeat(start[word] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 @cache
@@ -173,6 +290,16 @@ def pack(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
 _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
 
+def _chunks(b: pa.RecordBatch):
+    """Slices of rows (doc_id, text), of CHUNK bytes of text or of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+        yield b.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
+
+
 def _pack(path: str, end: int, size: int):
     def run(batches):
         ids: list = []
@@ -202,9 +329,8 @@ def _pack(path: str, end: int, size: int):
             ids, texts, held = [], [], 0
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                got = [t + stop for t in tokens(path).encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])]
+            for part in _chunks(b):
+                got = [t + stop for t in tokens(path).encode_array(part.column(1))]
                 ids += part.column(0).to_pylist()
                 texts += got
                 held += sum(map(len, got)) // 4

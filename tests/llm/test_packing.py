@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from citespark.llm import packing
 from citespark.llm.packing import Tokens, Windows, pack, pack_documents, pack_ids
 from citespark.llm.queries import QUERIES, tokenizer_path
 
@@ -112,3 +115,67 @@ def test_new_words_are_encoded_in_few_texts():
         seen.clear()
         assert t.encode([w.encode() for w in some]) == [pack_ids(e.ids) for e in own.encode_batch_fast(some, add_special_tokens=False)]
         assert len(seen) <= most
+
+
+def test_forms_of_a_word_are_encoded_once():
+    """Capitals and signs at a word make no new work for the tokenizer."""
+    seen = []
+
+    class Counting:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.own.encode_batch_fast(texts, **more)
+
+    t = Tokens(tokenizer_path())
+    own = t.tokenizer
+    for x in (t, getattr(t, "pieces", None)):
+        if x is not None:
+            x.tokenizer = Counting(x.tokenizer)
+    r = random.Random(8)
+    stems = ["".join(r.choices("abcdeilnorstuéèäöüßñł", k=12)) for _ in range(500)]
+    words = [form(s) + sign for s in stems for form in (str, str.title, str.swapcase) for sign in ("", ".", ",", "!!", "%%%") if len(form(s)) == 12]
+    assert t.encode([w.encode() for w in words]) == [pack_ids(e.ids) for e in own.encode_batch_fast(words, add_special_tokens=False)]
+    assert sum(map(len, seen)) < 2 * sum(map(len, stems))
+
+
+def test_words_taken_apart_have_the_tokenizers_ids(tmp_path):
+    """Contractions, digits, signs and letters in any order, in texts among other characters, in a full table, and by a
+    tokenizer that takes texts apart in another way."""
+    r = random.Random(9)
+    plain = [chr(i) for i in (*range(33, 127), *range(0xC0, 0x180))] + list("\'\'\'\'\'\'\'\'sstmdlrevLLSTMDREVE!<|>0123")
+    rare = list("\x01\x1c\x7f\x85\xa0\xad²¼×÷İŉſΣς\u0301漢😀")
+    words = ["".join(r.choices(plain, k=r.randint(1, 8))) for _ in range(20_000)] + ["".join(r.choices(plain * 2 + rare * 20, k=r.randint(1, 6))) for _ in range(5_000)]
+    words += ["<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|>", "a</w>", "</w>", "we'll've", "!'s", "'S", "x" * 5_000]
+    r.shuffle(words)
+    texts = [r.choice(["", " ", "\n\t"]) + " ".join(words[i : i + 40]) + r.choice(["", "\r\n "]) for i in range(0, len(words), 40)] + ["", " "]
+    spec = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    spec["normalizer"]["normalizers"].pop()  # capitals stay
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    for path in (tokenizer_path(), str(other)):
+        whole = Tokenizer.from_file(path)
+        want = [pack_ids(whole.encode(x, add_special_tokens=False).ids) for x in texts]
+        t = Tokens(path)
+        assert t.encode([x.encode() for x in texts]) == want
+        assert t.encode([x.encode() for x in texts[::-1]]) == want[::-1]
+        assert [y for i in range(len(texts)) for y in t.encode([texts[i].encode()])] == want
+
+
+def test_chunks_and_full_tables(monkeypatch):
+    """Texts of any number of chunks, with nulls and bytes that are no UTF-8, and tables that are emptied on the way."""
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    monkeypatch.setattr(packing, "WORDS", 20)
+    texts = [b"one two 3", None, b"", b"Two, three's 4!", b"bad \xff\xfe \xc3 end\xe6\xbc", "漢字 é two".encode()] + [b"w%dx y%d \xc3\xa9%d" % (i, i, i) for i in range(60)] + [b"z " * 100, None]
+    raw = pa.array(texts, pa.binary())
+    text = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())  # unchecked, as Spark's strings are
+    b = pa.record_batch([pa.array(range(len(texts))), text], ["doc_id", "text"])
+    t, whole = Tokens(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    want = [pack_ids(whole.encode((x or b"").decode("utf-8", "replace"), add_special_tokens=False).ids) for x in texts]
+    chunks = list(packing._chunks(b))
+    assert len(chunks) > 10 and [i for c in chunks for i in c.column(0).to_pylist()] == list(range(len(texts)))
+    assert [x for c in chunks for x in t.encode_array(c.column(1))] == want
+    assert t.encode_array(b.slice(3, 0).column(1)) == [] and t.encode([b" "]) == [b""]
+    assert all(c.num_rows == 1 or sum(len(texts[i] or b"") for i in c.column(0).to_pylist()) <= 50 for c in chunks)
