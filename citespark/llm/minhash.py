@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citespark.llm.common import batch, distinct_by_text, materialize, mix, runs, shingles, whole_rows, word_hashes, words
+from citespark.llm.common import batch, distinct_by_text, materialize, mix, runs, shingles, small_batches, tidy, whole_rows, word_hashes, words
 from citespark.llm.components import components
 
 #: Coordinates of a sketch at most, and the probability with which a link at the threshold may share no band.
@@ -225,7 +225,7 @@ def _large_buckets(large: DataFrame, sets: DataFrame, percent: int, links: DataF
     block = F.xxhash64("band", "h", "part")
     leaders = parts.select("band", "h", F.col("leader").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     first = _in_blocks(home.select(block.alias("block"), "rep").unionByName(leaders.select(block.alias("block"), "rep")).distinct(), sets)
-    inside = materialize(_alone(first).mapInArrow(_blocks(percent), "a long, b long"), "links")
+    inside = materialize(_alone(first).mapInArrow(tidy(_blocks(percent)), "a long, b long"), "links")
     links = links.unionByName(inside)
 
     label = components(links)
@@ -244,10 +244,11 @@ def _large_buckets(large: DataFrame, sets: DataFrame, percent: int, links: DataF
     two = _meetings(pairs, blocks)
     mixed = placed.where("pure is null").select("block").distinct()
     one = _alone(blocks.join(mixed, "block", "left_semi"))
-    between = one.unionByName(two).mapInArrow(_blocks(percent), "a long, b long")
+    between = one.unionByName(two).mapInArrow(tidy(_blocks(percent)), "a long, b long")
     return label.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(between)
 
 
+@small_batches
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """Per row of docs (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
 
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, b
     if bands is None or rows is None:
         bands, rows = banding(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sk = materialize(docs.mapInArrow(_sketches(shingle, bands, rows), _SKETCH_T), "sketches")
+    sk = materialize(docs.mapInArrow(tidy(_sketches(shingle, bands, rows)), _SKETCH_T), "sketches")
     classed, classes = _classes(sk)
     again = materialize(sk.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("rows > 1"), "again")
     spread = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "h"))
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, b
     pairs = materialize(pairs, "pairs")
     large = members.where(F.col("size") > SMALL)
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("rep")).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_whole_sets(shingle), "rep long, shingles array<long>")
+    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(tidy(_whole_sets(shingle)), "rep long, shingles array<long>")
     repeated = not again.isEmpty()
     sets = materialize(sets.distinct() if repeated else sets, "sets")
 

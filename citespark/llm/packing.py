@@ -16,10 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citespark.llm.common import tidy
+
 #: Documents are packed together until they hold so many tokens; this bounds a task's memory.
 GROUP_TOKENS = 16_000_000
 #: Texts are encoded together until they hold so many bytes.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Entries of a worker's table from words or pieces to ids; a full table is emptied.
 WORDS = 700_000
 #: New words are encoded in texts of so many, with a word of this control character between them.
@@ -352,4 +354,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
     groups of GROUP_TOKENS: no shuffle, and memory doesn't follow the input. Sequence ids follow from the partition's
     number and are unique."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_pack(tokenizer, end_id, size), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return docs.mapInArrow(tidy(_pack(tokenizer, end_id, size)), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -14,10 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citespark.llm.common import WHITE, materialize, mix, qualified, runs, shingles, whole_rows, word_hashes, words
+from citespark.llm.common import WHITE, materialize, mix, qualified, runs, shingles, small_batches, tidy, whole_rows, word_hashes, words
 
 ORDER, BITS = 5, 12
 #: Models of up to so many rows in all are broadcast, of which the driver gets 12 bytes each; else workers read their languages'
@@ -27,6 +28,8 @@ BROADCAST_ROWS = 4_000_000
 BROADCAST_LANGUAGES = 100_000
 #: Each block of so many characters has the best score of its text's language and of the commonest languages.
 BLOCK, LANGUAGES = 256, 8
+#: Texts are counted and scored together until they hold so many bytes.
+SLICE = 1_000_000
 #: A document is kept between median - LOWER * spread and median + UPPER * spread of its language, in nats a character;
 #: the spread is the larger distance of a quartile from the median, or LEAST_SPREAD. UPPER was chosen on the labelled
 #: documents of even doc_id; those of odd doc_id give the figures of the README.
@@ -80,15 +83,15 @@ def grams(cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _groups(batches):
-    """Slices of about 2 MB: languages, texts."""
+    """Slices of SLICE bytes of text, or of one row at least: languages, texts."""
     for b in batches:
-        langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        at, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t or "")
-            if held > 2_000_000 or i == len(texts) - 1:
-                yield b.slice(at, i + 1 - at), [x or "" for x in langs[at : i + 1]], [x or "" for x in texts[at : i + 1]]
-                at, held = i + 1, 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+            part = b.slice(at, to - at)
+            yield part, *([x or "" for x in part.column(i).to_pylist()] for i in (0, 1))
+            at, done = to, int(ends[to - 1])
 
 
 _COUNT = pa.schema([("lang", pa.string()), ("g", pa.int64()), ("n", pa.int64())])
@@ -122,7 +125,7 @@ def language_models(docs: DataFrame) -> DataFrame:
     """(lang, level, back, key, value): for each level from 1 to ORDER log probabilities by packed n-gram (back false) and
     log back-off weights by packed context (back true), of all docs (lang, text). Seen 5-grams are those of two texts. The
     result only reads written tables: a plan of all levels at once takes the driver much memory."""
-    table = materialize(docs.mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
+    table = materialize(docs.mapInArrow(tidy(_count), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
     levels = [table]
     for n in range(ORDER - 1, 0, -1):
         suffix = F.col("g").bitwiseAND(F.lit((1 << BITS * n) - 1))
@@ -182,7 +185,7 @@ Pieces = dict[str, dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]]]
 def _gathered(table: DataFrame) -> Pieces:
     """The arrays of all tasks, without a copy and without a Python object for each row."""
     out: Pieces = {}
-    rows = table.mapInArrow(_pack, "lang string, level int, back boolean, key binary, value binary").toArrow()
+    rows = table.mapInArrow(tidy(_pack), "lang string, level int, back boolean, key binary, value binary").toArrow()
     for lang, level, back, key, value in zip(*(rows[c] for c in _PACKED.names)):
         piece = np.frombuffer(key.as_buffer(), np.int64), np.frombuffer(value.as_buffer(), np.float32)
         out.setdefault(lang.as_py(), {}).setdefault((level.as_py(), back.as_py()), []).append(piece)
@@ -301,6 +304,7 @@ def _score(models):
     return run
 
 
+@small_batches
 def _judged(docs: DataFrame, rows: bool) -> DataFrame:
     """id, row (if wanted), the counts, base_failed, score, lower, upper, kept of each row. Rows go along with their scores, so
     that no text is shuffled."""
@@ -314,7 +318,7 @@ def _judged(docs: DataFrame, rows: bool) -> DataFrame:
     path = "" if small else qualified(spark, table.inputFiles()[0].rpartition("/")[0])
     models = spark.sparkContext.broadcast(Models({} if small else None, path, common, _gathered(table) if small else None))
     kinds = "row_lang string, " + ", ".join(f"{n} long" for n in _STATS) + ", score double, id long" + (f", row {docs.schema.simpleString()}" if rows else "")
-    scored = materialize(own.mapInArrow(_score(models), kinds), "scores")
+    scored = materialize(own.mapInArrow(tidy(_score(models)), kinds), "scores")
     models.destroy()
     scored = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     q = scored.where("not base_failed").groupBy("row_lang").agg(F.percentile_approx("score", [0.25, 0.5, 0.75], 10000).alias("q"))
